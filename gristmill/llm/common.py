@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +60,8 @@ def with_bucket(df: DataFrame, key: str, bounds: Sequence[float], name: str) ->
     """Adds name: the number of bounds at or below key. Nulls of key are in bucket 0."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
+    from pyspark.ml.feature import Bucketizer  # the driver's work; workers need not load it
+
     splits = [float("-inf"), *bounds, float("inf")]
     tmp, out = f"__{name}_k", f"__{name}_b"
     df = df.withColumn(tmp, F.coalesce(F.col(key).cast("double"), F.lit(float(LOWEST))))

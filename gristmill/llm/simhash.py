@@ -39,7 +39,7 @@ def simhash(text: str | None, words: int = 3) -> int:
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         part = np.array(h[i : i + 65536], "<u8")
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
