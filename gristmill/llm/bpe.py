@@ -56,11 +56,8 @@ def decode(tokens: DataFrame, rank_file: str = "byte_bpe_50k.tiktoken") -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = encoding(rank_file).decode_bytes
         for b in batches:
-            text = pa.array([whole(ids.values.tolist()) if ids.is_valid else b"" for ids in _lists(b.column(1))], pa.binary())
+            text = pa.array([whole(ids or []) for ids in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
-
-def _lists(column: pa.ListArray) -> Iterator[pa.ListScalar]:
-    return iter(column)

@@ -7,7 +7,7 @@ Elias-Fano sequences, then all token ids, two bytes each where the vocabulary al
 from __future__ import annotations
 
 import struct
-import zlib
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -136,7 +136,7 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             if ids:
                 name = f"part-{bucket:08d}-{number:06d}.gmef"
                 raw = pack_file(ids, runs, width)
-                part = f"{folder}/_{name}.{zlib.crc32(raw):08x}.{id(raw)}"
+                part = f"{folder}/_{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(raw)
                 store.move(part, f"{folder}/{name}")
