@@ -7,13 +7,14 @@ import functools
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text
+from gristmill.llm.common import clean_text, small_batches
 
 #: A longer text goes to the library in parts of about this many characters.
 PART = 100_000
@@ -43,9 +44,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(rank_file).encode_ordinary
-        for b in batches:
-            ids = [one(t) if len(t) <= PART else [i for part in parts(t) for i in one(part)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for b in small_batches(batches):
+            ids = [np.array(one(t) if len(t) <= PART else [i for part in parts(t) for i in one(part)], np.int32) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -55,7 +57,7 @@ def decode(tokens: DataFrame, rank_file: str = "byte_bpe_50k.tiktoken") -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = encoding(rank_file).decode_bytes
-        for b in batches:
+        for b in small_batches(batches):
             text = pa.array([whole(ids or []) for ids in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "ids", "decoded"])
 

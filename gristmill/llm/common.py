@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +101,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def clean_text(text: Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(text, F.lit(""))
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds Python values of few texts at a time."""
+    for b in batches:
+        for start in range(0, len(b), rows):
+            yield b.slice(start, rows)
