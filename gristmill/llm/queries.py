@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, packing, simhash, tokenfile, weighted_sampling
+from gristmill.llm import bpe, packing, simhash, substring_dedup, tokenfile, weighted_sampling
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents: where they are, and in which document they were first."""
+    return substring_dedup.repeated_spans(_documents(spark, sf_dir)).select("doc_id", "start", "end", "n_words", "first_doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed."""
     return packing.pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,6 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_weighted_sampling": op6_weighted_sampling,
