@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, packing, simhash, substring_dedup, tokenfile, weighted_sampling
+from gristmill.llm import bpe, langid, packing, simhash, substring_dedup, tokenfile, weighted_sampling
+
+#: A fifth of the documents, by their ids, that no label is learned from. A row without an id is not held out.
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0, false)"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +50,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs.where(f"NOT {HELD_OUT}"))
+    return langid.predict(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weighted_sampling": op6_weighted_sampling,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_langid": op10_langid,
 }
 
 #: None of these can be said in SQL; tests hold them against brute force.
