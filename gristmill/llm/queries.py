@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, langid, packing, simhash, substring_dedup, tokenfile, weighted_sampling
+from gristmill.llm import bpe, langid, packing, simhash, substring_dedup, tokenfile, toxicity, weighted_sampling
 
 #: A fifth of the documents, by their ids, that no label is learned from. A row without an id is not held out.
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0, false)"
@@ -38,6 +38,13 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprints_with_edits(_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of those that are not held out."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(f"NOT {HELD_OUT}"), toxicity.language_model(docs))
+    return toxicity.score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     return tokenfile.token_files(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_weighted_sampling": op6_weighted_sampling,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_langid": op10_langid,
