@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, langid, packing, secrets, simhash, substring_dedup, tokenfile, toxicity, weighted_sampling
+from gristmill.llm import bpe, embeddings, langid, packing, secrets, simhash, substring_dedup, tokenfile, toxicity, weighted_sampling
 
 #: A fifth of the documents, by their ids, that no label is learned from. A row without an id is not held out.
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0, false)"
@@ -22,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_documents(spark, sf_dir)).select("doc_id", "start", "end", "n_words", "first_doc_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets in all documents, with the forest's verdict."""
     return secrets.scan(_documents(spark, sf_dir)).select("doc_id", "start", "candidate", "score", "is_secret")
@@ -71,6 +76,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embeddings": op2_embeddings,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
