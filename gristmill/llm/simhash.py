@@ -157,3 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialize(named.join(ids, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """docs without the documents whose group has one with a smaller id; columns as they are. Rows that share an id stay or go together; those without one go where a named one stays."""
+    classes = near_duplicates(docs, id_col, text_col, words, radius)
+    gone = materialize(classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
