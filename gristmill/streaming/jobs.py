@@ -44,10 +44,10 @@ def unique_events(events: DataFrame, key: str, ts: str = "ts", late: str = "1 ho
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def breaker(events: DataFrame, key: str, ts: str = "ts", kind: str = "event_type", failed: str = "error", seconds: int = 60, threshold: int = 8, cool_down: int = 120) -> DataFrame:
+def breaker(events: DataFrame, key: str, ts: str = "ts", kind: str = "event_type", failed: str = "error", seconds: int = 60, threshold: int = 8, cool_down: int = 120, late: str = "10 minutes") -> DataFrame:
     """Rows (key, opened_at, open_until): a key had threshold failures within seconds. While it is open, failures do not count.
 
-    State is at most threshold times of failures and one time for each key; it goes after an hour without rows.
+    State is at most threshold times of failures and one time for each key; it goes an hour of event time after its last row.
     """
 
     def run(k: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,10 +64,10 @@ def breaker(events: DataFrame, key: str, ts: str = "ts", kind: str = "event_type
                 until, times = t + cool_down * 1_000_000, []
                 out.append((k[0], pd.Timestamp(t, unit="us"), pd.Timestamp(until, unit="us")))
         state.update((times, until))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), max([*times, until]) // 1000) + 3_600_000)
         if out:
             yield pd.DataFrame(out, columns=[key, "opened_at", "open_until"])
 
-    kept = events.where(F.col(kind) == failed).select(key, ts)
+    kept = events.where(F.col(kind) == failed).select(key, ts).withWatermark(ts, late)
     kind_of = dict(events.dtypes)[key]
-    return kept.groupBy(key).applyInPandasWithState(run, f"{key} {kind_of}, opened_at timestamp, open_until timestamp", "times array<long>, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.groupBy(key).applyInPandasWithState(run, f"{key} {kind_of}, opened_at timestamp, open_until timestamp", "times array<long>, until long", "append", GroupStateTimeout.EventTimeTimeout)
