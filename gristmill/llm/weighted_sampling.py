@@ -30,6 +30,8 @@ LONG_WORD = 32
 PIECE = 6
 #: Documents in a bucket of ids, which one task goes through in order.
 BUCKET_DOCS = 2000
+#: With more buckets than this, their first ids are joined by a shuffle of the documents instead of a broadcast of a few bytes each.
+BROADCAST_BUCKETS = 100_000
 
 
 @functools.cache
@@ -105,6 +107,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     firsts = sorted((r["bucket"], r["first"]["doc_id"]) for r in with_bucket(docs.select("doc_id"), "doc_id", bounds, "bucket").groupBy("bucket").agg(F.min(key).alias("first")).collect())
     guards = [(doc_id is None, doc_id or 0, firsts[i - 1][0]) for i, (_, doc_id) in enumerate(firsts)]
     guards_df = docs.sparkSession.createDataFrame(guards, "no_id boolean, first_id long, before int")
+    if len(guards) <= BROADCAST_BUCKETS:
+        guards_df = F.broadcast(guards_df)
     same = (F.col("doc_id").isNull() == F.col("no_id")) & (F.coalesce("doc_id", F.lit(0)) == F.col("first_id"))
     here = F.struct(F.col("bucket"), F.lit(False).alias("guard"))
     both = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guard")))).otherwise(F.array(here))
