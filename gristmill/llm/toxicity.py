@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +24,8 @@ TRAIN_DOCS = 20_000
 WORDS, LEAST_DOCS, LEAST_ODDS, LEAST_SIGMAS = 2000, 5, 2.0, 3.0
 #: Beginnings of words that are counted beside whole words, so that a stem tells in forms that were never labelled.
 STEMS = (4, 5, 6)
-#: Costs in nats of a look-alike, of a sign that stands for any letter, of a dropped separator and of a dropped repeat, and of a gap that is read between spaced letters.
-LOOK_ALIKE, ANY_LETTER, SEPARATOR, REPEAT, GAP = 1.0, 2.5, 0.7, 0.7, 1.5
-#: A longer token is no disguised word.
-LONGEST = 60
+#: Costs in nats of a look-alike, of a sign that stands for any letter, of a dropped separator and of a dropped repeat, of a gap that is read between spaced letters and of a separator that ends a word.
+LOOK_ALIKE, ANY_LETTER, SEPARATOR, REPEAT, GAP, BREAK = 1.0, 2.5, 0.7, 0.7, 1.5, 1.5
 #: Tokens remembered per worker.
 REMEMBERED = 400_000
 #: Signs and the letters they look like.
@@ -92,36 +90,63 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def decode(token: str, gains: np.ndarray, spaced: bool = False) -> list[str]:
-    """The likeliest restored words of a token of lower-case signs: one, or with spaced letters perhaps several."""
-    # A state is the last two characters and the written sign before, for repeats; its value the best cost and text.
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    """The likeliest restored words of a token of lower-case signs, of any length. All states are kept, so that nothing likelier is lost."""
+    # A state is the last two characters and the written sign before, for repeats; its value the best cost and text, the latter as links to what stands before.
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for sign in token:
         options: list[tuple[str, float]] = [(sign, 0.0)] if sign.isalpha() else []
         options += [(c, LOOK_ALIKE) for c in SIGNS.get(sign, "")]
-        if sign in ANY:
-            options += [(c, ANY_LETTER) for c in LETTERS]
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
-        def reach(state: tuple[int, int, str], cost: float, text: str, after: dict = after) -> None:
+        def reach(state: tuple[int, int, str], cost: float, text: tuple | None, sign: str = "", after: dict = after) -> None:
             if state not in after or cost < after[state][0]:
-                after[state] = (cost, text)
+                after[state] = (cost, (text, sign) if sign else text)
 
+        if sign in ANY:
+            _any_letter(states, gains, spaced, reach)
         for (a, b, last), (cost, text) in states.items():
             for c, price in options:
                 code = CODES.get(c, OTHER)
                 if c == last:
                     reach((a, b, last), cost + REPEAT, text)
-                reach((b, code, c), cost + price - gains[a, b, code], text + c)
+                reach((b, code, c), cost + price - gains[a, b, code], text, c)
                 if spaced and b:
                     ended = cost + GAP - gains[a, b, 0]
-                    reach((0, code, c), ended + price - gains[0, 0, code], text + " " + c)
+                    reach((0, code, c), ended + price - gains[0, 0, code], text, " " + c)
             if sign in SEPARATORS:
                 reach((a, b, last), cost + SEPARATOR, text)
-            elif not options:
-                reach((0, 0, ""), cost + SEPARATOR - (gains[a, b, 0] if b else 0), text + " " if b else text)
-        states = dict(sorted(after.items(), key=lambda s: s[1][0])[:200])
-    best = min(((cost - gains[a, b, 0], text) for (a, b, _), (cost, text) in states.items()), default=(0, ""))
-    return best[1].split()
+                if b:
+                    reach((0, 0, ""), cost + BREAK - gains[a, b, 0], text, " ")
+            elif not options and sign not in ANY:
+                reach((0, 0, ""), cost + SEPARATOR - (gains[a, b, 0] if b else 0), text, " " if b else "")
+        states = after
+    _, text = min(((cost - gains[a, b, 0], text) for (a, b, _), (cost, text) in states.items()), key=lambda x: x[0])
+    signs = []
+    while text is not None:
+        text, sign = text
+        signs.append(sign)
+    return "".join(reversed(signs)).split()
+
+
+def _any_letter(states: dict, gains: np.ndarray, spaced: bool, reach: Callable[..., None]) -> None:
+    """Reads a sign as each letter after all states: of those with the same last character, one is best for each letter."""
+    keys, values = list(states), list(states.values())
+    a, b = np.array([k[:2] for k in keys]).T
+    costs = np.array([v[0] for v in values])
+    for k, (cost, text) in zip(keys, values, strict=True):
+        if k[2] in CODES:
+            reach(k, cost + REPEAT, text)
+    priced = costs[:, None] + ANY_LETTER - gains[a, b, 1:OTHER]
+    for last in np.unique(b).tolist():
+        rows = np.flatnonzero(b == last)
+        best = rows[priced[rows].argmin(axis=0)]
+        for i, (c, cost) in enumerate(zip(LETTERS, priced[best, range(len(LETTERS))].tolist(), strict=True)):
+            reach((last, i + 1, c), cost, values[best[i]][1], c)
+    if spaced and b.any():
+        ended = np.where(b > 0, costs + GAP - gains[a, b, 0], np.inf)
+        i = int(ended.argmin())
+        for c, code in CODES.items():
+            reach((0, code, c), float(ended[i] + ANY_LETTER - gains[0, 0, code]), values[i][1], " " + c)
 
 
 def units(word: str) -> list[str]:
@@ -145,10 +170,10 @@ class Restorer:
         core = token.strip(_EDGES)
         if core.isalpha() and not (len(core) > 2 and _DISGUISE.match(core)):
             # Signs at an end may be letters too: "$cum". Only then is there a second reading.
-            if len(core) == len(token) or not any(c in SIGNS for c in (token[0], token[-1])) or len(token) > LONGEST:
+            if len(core) == len(token) or not any(c in SIGNS for c in (token[0], token[-1])):
                 return (core,)
             return (core, *decode(token.strip("".join(set(_EDGES) - SIGNS.keys())), self.gains))
-        if not any(c.isalpha() for c in core) or len(core) > LONGEST:
+        if not any(c.isalpha() for c in core):
             return (core,) if core else ()
         return tuple(decode(token.strip("".join(set(_EDGES) - SIGNS.keys() - set(ANY))), self.gains)) + tuple(decode(core, self.gains))
 
@@ -161,10 +186,8 @@ class Restorer:
                 found.update(kept)
         for m in _SPACED.finditer(text):
             for part in re.split(r"[ \t]{2,}", m.group()):
-                letters = "".join(part.split())
-                for i in range(0, len(letters), LONGEST):
-                    read = {u for word in decode(letters[max(0, i - 20) : i + LONGEST], self.gains, spaced=True) for u in units(word)}
-                    found.update(read if self.telling is None else read & self.telling)
+                read = {u for word in decode("".join(part.split()), self.gains, spaced=True) for u in units(word)}
+                found.update(read if self.telling is None else read & self.telling)
         return found
 
 
