@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, small_batches
+from gristmill.llm.common import clean_text, held, small_batches
 
 #: A longer text goes to the library in parts of about this many characters.
 PART = 100_000
@@ -22,9 +21,12 @@ PART = 100_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
-@functools.cache
 def encoding(rank_file: str) -> tiktoken.Encoding:
     """The worker's encoding for a rank file of public_tokenizers; no special tokens."""
+    return held(f"ranks {rank_file}", lambda: _read(rank_file))
+
+
+def _read(rank_file: str) -> tiktoken.Encoding:
     with open(public_tokenizers.path(rank_file), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(rank_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sorts before every document id.
-LOWEST = -(2**63)
+#: Bytes of texts in a batch of a task's Python work; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder is taken."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine, as in tests, may it be unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own_dir()
     return path.rstrip("/")
 
 
@@ -48,27 +58,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def quantile_bounds(df: DataFrame, key: str, rows: int, per_bucket: int) -> list[float]:
-    """Cut points that deal key into buckets of about per_bucket rows. Spark's quantile sketch finds them, so only the cut points reach the driver."""
-    n = max(1, -(-rows // per_bucket))
-    if n == 1:
-        return []
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)
-    return sorted(set(found))
-
-
-def with_bucket(df: DataFrame, key: str, bounds: Sequence[float], name: str) -> DataFrame:
-    """Adds name: the number of bounds at or below key. Nulls of key are in bucket 0."""
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    from pyspark.ml.feature import Bucketizer  # the driver's work; workers need not load it
-
-    splits = [float("-inf"), *bounds, float("inf")]
-    tmp, out = f"__{name}_k", f"__{name}_b"
-    df = df.withColumn(tmp, F.coalesce(F.col(key).cast("double"), F.lit(float(LOWEST))))
-    return Bucketizer(splits=splits, inputCol=tmp, outputCol=out).transform(df).withColumn(name, F.col(out).cast("int")).drop(tmp, out)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (node, root) for the distinct non-null values of nodes.node; root is the smallest node reachable over edges (a, b).
 
@@ -94,6 +83,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = after
         if not moved:
             break
+    discard(both)
     alone = nodes.select("node").where("node IS NOT NULL").select("node", F.col("node").alias("root"))
     return alone.unionByName(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
 
@@ -103,8 +93,53 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a task holds Python values of few texts at a time."""
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """A worker's object of this key, made when first asked for. Workers outlive tasks; what they held of another key is let go, so that memories never add up."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Gives back what a worker holds of earlier tasks."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, by rows and by bytes of their strings, so that a task holds Python values of few texts at a time."""
     for b in batches:
-        for start in range(0, len(b), rows):
-            yield b.slice(start, rows)
+        used = np.zeros(len(b), np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                used += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        total, start = np.cumsum(used), 0
+        while start < len(b):
+            before = total[start - 1] if start else 0
+            end = min(start + rows, len(b), max(start + 1, int(np.searchsorted(total, before + size, "right"))))
+            yield b.slice(start, end - start)
+            start = end
+
+
+def in_key_order(docs: DataFrame, partitions: int) -> DataFrame:
+    """Rows (doc_id, text) dealt by ranges of doc_id, those without one first, and sorted; equal ids by their texts, whose beginnings also split them over partitions.
+
+    Spark samples the ranges; their number is that of the tasks.
+    """
+    first = F.col("doc_id").asc_nulls_first()
+    return docs.repartitionByRange(max(1, partitions), first, F.substring("text", 1, 64)).sortWithinPartitions(first, "text")
+
+
+def partitions_of(docs: DataFrame, text_col: str, partition_bytes: int) -> int:
+    """How many partitions of about partition_bytes of text docs make, by the sum of lengths."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return -(-int(total) // partition_bytes) or 1

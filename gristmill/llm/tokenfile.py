@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, fresh_path, materialize, quantile_bounds, with_bucket
+from gristmill.llm.common import clean_text, fresh_path, in_key_order, materialize, partitions_of, small_batches
 from gristmill.llm.tokens import encoder
 
 MAGIC = b"GMEF0001"
@@ -25,9 +26,11 @@ MAGIC = b"GMEF0001"
 HEADER = struct.Struct("<8sIIIQqII")
 #: Every so many documents, the place of its bit in the upper half is kept.
 STRIDE = 256
-#: Documents in a bucket of ids, which one task writes, and tokens after which a new file begins.
-BUCKET_DOCS = 4000
+#: Bytes of text that a task writes, about, and tokens after which a new file begins.
+PARTITION_BYTES = 64 << 20
 FILE_TOKENS = 4_000_000
+#: Documents whose boundaries are decoded at once.
+WINDOW = 1000
 END = 1
 
 
@@ -56,25 +59,23 @@ class EliasFano:
         """Value i, found from the nearest mark before it."""
         if not 0 <= i < self.length:
             raise IndexError(i)
-        place, wanted = int(self.marks[i // STRIDE]), i % STRIDE
-        byte = place // 8
-        window = 64
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + window], bitorder="little"))
-            ones = ones[ones >= place - 8 * byte]
-            if len(ones) > wanted:
-                upper = int(ones[wanted]) + 8 * byte - i
-                break
-            window *= 2
-        a, b = i * self.low_bits, (i + 1) * self.low_bits
-        bits = np.unpackbits(self.low[a // 8 : -(-b // 8)], bitorder="little")[a % 8 :][: self.low_bits]
-        return (upper << self.low_bits) + sum(int(bit) << k for k, bit in enumerate(bits))
-
-    def values(self) -> np.ndarray:
-        """All values."""
-        upper = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64) - np.arange(self.length, dtype=np.uint64)
-        bits = np.unpackbits(self.low, count=self.length * self.low_bits, bitorder="little").reshape(self.length, self.low_bits).astype(np.uint64)
-        return (upper << np.uint64(self.low_bits)) + (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return int(self.window(i, i + 1)[0])
+
+    def window(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1. Of the upper half, only the bytes between the marks around them are looked at."""
+        a, b = max(0, a), min(b, self.length)
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first = int(self.marks[a // STRIDE]) // 8
+        next_mark = -(-b // STRIDE)
+        last = int(self.marks[next_mark]) // 8 + 1 if next_mark < len(self.marks) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + 8 * first
+        skip = int(np.searchsorted(ones, int(self.marks[a // STRIDE]))) + a % STRIDE
+        upper = (ones[skip : skip + b - a] - np.arange(a, b)).astype(np.uint64)
+        start = a * self.low_bits // 8
+        bits = np.unpackbits(self.low[start : -(-b * self.low_bits // 8)], bitorder="little")[a * self.low_bits - 8 * start :][: (b - a) * self.low_bits]
+        low = (bits.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (upper << np.uint64(self.low_bits)) + low
 
     def pack(self) -> bytes:
         return struct.pack("<IIII", self.length, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.marks.tobytes()
@@ -107,21 +108,30 @@ class TokenFile:
         self.tokens = np.frombuffer(raw, f"<u{self.width}", self.n_tokens, at + ids + ends)
 
     def document(self, i: int) -> np.ndarray:
+        """Document i's tokens."""
         return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + [self.first + int(x) for x in self.ids.values()]
+    def offsets(self, a: int, b: int) -> np.ndarray:
+        """The token offsets at which documents a to b - 1 begin and, last, at which the last of them ends."""
+        ends = self.ends.window(a - 1, b).astype(np.int64)
+        return ends if a else np.concatenate(([0], ends))
+
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """The ids of documents a to b - 1."""
+        named = self.ids.window(a - self.unnamed, b - self.unnamed).tolist()
+        return [None] * (min(b, self.n_docs) - a - len(named)) + [self.first + x for x in named]
 
 
 def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
     """Writes all documents' token ids, each with the end id, to files under path; returns rows (file, n_docs, n_tokens).
 
-    Files are named so that their order is the order of document ids (nulls first; equal ids by text). Null texts count as
-    empty. A file is written beside its name and then moved, so a task that runs again leaves the same files.
+    Files are named so that their order is the order of document ids (nulls first; equal ids by text). Null texts
+    count as empty; very long ones are one document like others. A file is written beside its name and then moved, so a task that
+    runs again leaves the same files.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
-    bounds = quantile_bounds(docs, "doc_id", docs.count(), BUCKET_DOCS)
-    dealt = with_bucket(docs, "doc_id", bounds, "bucket").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    tasks = max(partitions_of(docs, "text", PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = in_key_order(docs, tasks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
@@ -129,30 +139,27 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         last = np.array([end], words.kind).tobytes()
         store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         store.create_dir(folder, recursive=True)
-        bucket, number, ids, runs, size, done = None, 0, [], [], 0, []
+        part, number, ids, runs, size, done = TaskContext.get().partitionId(), 0, [], [], 0, []
 
         def close() -> None:
             nonlocal number, ids, runs, size
             if ids:
-                name = f"part-{bucket:08d}-{number:06d}.gmef"
+                name = f"part-{part:08d}-{number:06d}.gmef"
                 raw = pack_file(ids, runs, width)
-                part = f"{folder}/_{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
+                beside = f"{folder}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
                     out.write(raw)
-                store.move(part, f"{folder}/{name}")
+                store.move(beside, f"{folder}/{name}")
                 done.append((name, len(ids), size // width))
             number, ids, runs, size = number + 1, [], [], 0
 
-        for b in batches:
-            for k in range(0, len(b), 500):
-                cut = b.slice(k, 500)
-                for doc, tokens, at in zip(cut.column(0).to_pylist(), words.encode(cut.column(1).to_pylist()), cut.column(2).to_pylist(), strict=True):
-                    if at != bucket or size >= FILE_TOKENS * width:
-                        close()
-                        bucket, number = at, number if at == bucket else 0
-                    ids.append(doc)
-                    runs.append(tokens + last)
-                    size += len(tokens) + width
+        for b in small_batches(batches, 500):
+            for doc, tokens in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
+                if size >= FILE_TOKENS * width:
+                    close()
+                ids.append(doc)
+                runs.append(tokens + last)
+                size += len(tokens) + width
         close()
         if done:
             names, n_docs, n_tokens = zip(*done, strict=True)
@@ -164,22 +171,20 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def read_files(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) from files under path: ids as little-endian 32-bit integers, start counts the tokens of all documents before.
 
-    files: the rows of write_files. Only the number of tokens a file holds is summed over files, in one small window.
+    files: the rows of write_files. Boundaries are selected for WINDOW documents at a time. Only the number of tokens a file
+    holds is summed over files, in one window of a row a file.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = TokenFile(raw)
-                ends = f.ends.values().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                ids, tokens = f.doc_ids(), f.tokens.astype("<u4")
-                for k in range(0, f.n_docs, 1000):
-                    a, z = starts[k : k + 1000], ends[k : k + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(a)), pa.array(ids[k : k + 1000], pa.int64()), pa.array(a), pa.array(z - a), pa.array([tokens[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary())],
-                        ["file", "doc_id", "local", "n_tokens", "ids"],
-                    )
+                for k in range(0, f.n_docs, WINDOW):
+                    at = f.offsets(k, k + WINDOW)
+                    ids = pa.array(f.doc_ids(k, k + WINDOW), pa.int64())
+                    tokens = [f.tokens[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    columns = [pa.array([name] * len(ids)), ids, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(tokens, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "local", "n_tokens", "ids"])
 
     base = files.select("file", (F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")).alias("base"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gmef").schema("path string, modificationTime timestamp, length long, content binary")

@@ -6,7 +6,6 @@ certain, and each piece's ids found once per worker. Pieces that are new in a ba
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Sequence
 
@@ -14,24 +13,27 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces remembered per worker; the memory starts anew when it is full.
-REMEMBERED = 700_000
+from gristmill.llm.common import held
+
+#: Pieces remembered per worker, some 110 MB; the memory starts anew when it is full.
+REMEMBERED = 500_000
 #: New pieces that one call joins.
 JOINED = 400
+#: Marks of ASCII.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_TWO_SPACES = re.compile(r"\s\s|\s\Z|\0")
 _SAFE = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _BYTE_PLAIN = re.compile(r" ?\S+")
 _WORD_PLAIN = re.compile(r"[^\s0]+")
-_TAIL = re.compile(r"(\s?[^\s]*[^\W_])([!-/:-@\[-`{-~]+)")
 
 
 def _byte_pieces(text: str) -> list[str]:
     """Cuts before a space that a visible character follows, and around a lone line feed: the byte-level pattern always splits there."""
-    if _TWO_SPACES.search(text):
-        return _SAFE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    # All white space is single spaces and line feeds between visible signs: the certain cuts are all there are.
+    if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return _SAFE.split(text)
 
 
 def _word_pieces(text: str) -> list[str]:
@@ -59,14 +61,25 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         # A letter or digit and a mark after it are always split, so a word's ids serve whatever marks follow it.
-        tails = {p: m.groups() for p in new if (m := _TAIL.fullmatch(p))}
-        self._ask(list({part for p in tails for part in tails[p]}.union(new.difference(tails)).difference(self.known)))
-        self.known.update({p: self.known[a] + self.known[b] for p, (a, b) in tails.items()})
+        tails, ask = [], set()
+        for p in new:
+            word = p.rstrip(MARKS)
+            if len(word) < len(p) and word[-1:].isalnum() and self.plain.fullmatch(p):
+                tails.append((p, word, p[len(word) :]))
+                ask.add(word)
+                ask.add(p[len(word) :])
+            else:
+                ask.add(p)
+        self._ask(list(ask.difference(self.known)))
+        known = self.known
+        for p, word, marks in tails:
+            known[p] = known[word] + known[marks]
 
     def _ask(self, new: list[str]) -> None:
-        plain = [p for p in new if self.plain.fullmatch(p)]
+        plain, rest = [], []
+        for p in new:
+            (plain if self.plain.fullmatch(p) else rest).append(p)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        rest = [p for p in new if not self.plain.fullmatch(p)]
         for group, ids in zip(groups, self._ids([self.between.join(g) for g in groups]), strict=True):
             array = np.array(ids, self.kind)
             cuts = np.flatnonzero(array == self.mark)
@@ -95,7 +108,6 @@ class Encoder:
         return cut
 
 
-@functools.cache
 def encoder(name: str) -> Encoder:
     """The worker's encoder for a vocabulary file of public_tokenizers."""
-    return Encoder(name)
+    return held(f"encoder {name}", lambda: Encoder(name))
