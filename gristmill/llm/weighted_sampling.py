@@ -1,90 +1,142 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's terms are its words, weighted by how often they occur. For each of SAMPLES places, a gamma variable, an exponential-like
-one and a uniform shift belong to each term; the term with the least value and its quantised weight are the sample. Two texts
-have the same sample with the probability of their generalised Jaccard similarity: sum of least weights by sum of largest.
+A text's terms are its words, weighted by how often they occur. For each of SAMPLES places, two gamma variables and a uniform
+shift belong to each term; the term with the least value and its quantised weight are the sample. Two texts have the same sample
+with the probability of their generalised Jaccard similarity: sum of least weights by sum of largest. The variables of a term are
+drawn from a counter-based hash of the term's 64-bit hash and the place, so that there is no vocabulary and no two terms share any.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, quantile_bounds, with_bucket
+from gristmill.llm.common import clean_text, held, in_key_order, materialize, partitions_of, small_batches
 
-#: Samples in a fingerprint, hex digits for each, and terms that variables are drawn for: words are hashed to one of these.
+#: Samples in a fingerprint and hex digits for each.
 SAMPLES = 64
 DIGITS = 4
-TERMS = 65_536
 SEED = 20_240_229
-#: A longer word counts as its pieces of PIECE characters, so that texts without spaces have terms too.
-LONG_WORD = 32
-PIECE = 6
-#: Documents in a bucket of ids, which one task goes through in order.
-BUCKET_DOCS = 2000
-#: With more buckets than this, their first ids are joined by a shuffle of the documents instead of a broadcast of a few bytes each.
-BROADCAST_BUCKETS = 100_000
-
-
-@functools.cache
-def _variables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each term and place: gamma variable, shift, logarithm of the second gamma variable, and the sample's value at weight one."""
-    draw = np.random.Generator(np.random.PCG64(SEED))
-    r = draw.gamma(2.0, 1.0, (TERMS, SAMPLES)).astype(np.float32)
-    log_c = np.log(draw.gamma(2.0, 1.0, (TERMS, SAMPLES))).astype(np.float32)
-    beta = draw.random((TERMS, SAMPLES), np.float32)
-    return r, beta, log_c, log_c + r * beta - r
-
-
-def term_weights(text: str) -> dict[int, int]:
-    """How often each hashed term occurs."""
-    weights: dict[int, int] = {}
+#: A word counts as its stretches of so many characters, or whole if it has no more, so that texts without spaces have many terms too.
+STRETCH = 12
+#: Terms whose variables a worker remembers, a kilobyte each; the memory starts anew when it is full.
+REMEMBERED = 65_536
+#: Bytes of text that a task goes through, about.
+PARTITION_BYTES = 64 << 20
+
+_PLACES = (np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on all bits (the finaliser of a splittable generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def variables(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each term's hash and place: a gamma variable, a uniform shift and the logarithm of a second gamma variable."""
+    counter = _mixed(terms[:, None] + _PLACES[None, :])
+    uniform = []
+    for k in range(3):
+        drawn = _mixed(counter + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64))
+        # Twenty-three bits and a half: exact in single precision, never 0 or 1.
+        uniform += [(half.astype(np.float32) + np.float32(0.5)) * np.float32(2**-23) for half in (drawn >> np.uint64(41), drawn & np.uint64(0x7FFFFF))]
+    r = -np.log(uniform[0] * uniform[1])
+    log_c = np.log(-np.log(uniform[2] * uniform[3]))
+    return r, uniform[4], log_c
+
+
+class Sampler:
+    """Fingerprints of texts; the variables of terms are remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.hashes = np.zeros(REMEMBERED, np.uint64)
+        self.r, self.beta, self.log_c, self.single = (np.zeros((REMEMBERED, SAMPLES), np.float32) for _ in range(4))
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.known)
+        for i in range(0, len(new), 2048):
+            some = new[i : i + 2048]
+            here = slice(at + i, at + i + len(some))
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for t in some), np.uint64, len(some))
+            r, beta, log_c = variables(hashes)
+            self.hashes[here], self.r[here], self.beta[here], self.log_c[here] = hashes, r, beta, log_c
+            # A term that occurs once: its weight's logarithm is 0, and its step floor(beta) = 0.
+            self.single[here] = log_c + r * beta - r
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def fingerprint(self, text: str) -> str:
+        """SAMPLES samples of DIGITS hex digits each; equal texts have equal fingerprints. A text without words has the empty string."""
+        weights = term_weights(text)
+        if not weights:
+            return ""
+        least, found, step = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+        items = sorted(weights.items()) if len(weights) > 8192 else list(weights.items())
+        for i in range(0, len(items), 8192):
+            self._sample(dict(items[i : i + 8192]), least, found, step)
+        mixed = _mixed(found + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 4 * DIGITS)
+        return "".join(f"{x:0{DIGITS}x}" for x in mixed.tolist())
+
+    def _sample(self, weights: dict[str, int], least: np.ndarray, found: np.ndarray, step: np.ndarray) -> None:
+        """Lowers least, and sets the terms and steps that did, by some of a text's terms."""
+        new = [t for t in weights if t not in self.known]
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = list(weights)
+            self._learn(new)
+        rows = np.fromiter(map(self.known.__getitem__, weights), np.int64, len(weights))
+        counts = np.fromiter(weights.values(), np.int64, len(weights))
+        places = np.arange(SAMPLES)
+        once = rows[counts == 1]
+        if len(once):
+            self._lower(once, self.single[once], np.zeros((1, SAMPLES), np.int64), least, found, step, places)
+        more = rows[counts > 1]
+        if len(more):
+            r, beta = self.r[more], self.beta[more]
+            steps = np.floor(np.log(counts[counts > 1].astype(np.float32))[:, None] / r + beta)
+            self._lower(more, self.log_c[more] - r * (steps - beta) - r, steps, least, found, step, places)
+
+    def _lower(self, rows: np.ndarray, values: np.ndarray, steps: np.ndarray, least: np.ndarray, found: np.ndarray, step: np.ndarray, places: np.ndarray) -> None:
+        at = values.argmin(axis=0)
+        lowest = values[at, places]
+        hashes = self.hashes[rows[at]]
+        better = (lowest < least) | (lowest == least) & (hashes < found)
+        least[better], found[better] = lowest[better], hashes[better]
+        step[better] = steps[at if len(steps) > 1 else np.zeros(SAMPLES, np.int64), places][better].astype(np.int64)
+
+
+def sampler() -> Sampler:
+    """The worker's sampler."""
+    return held("sampler", Sampler)
+
+
+def term_weights(text: str) -> dict[str, int]:
+    """How often each term occurs."""
+    weights: dict[str, int] = {}
     for word, n in Counter(text.split()).items():
-        pieces = [word] if len(word) <= LONG_WORD else [word[i : i + PIECE] for i in range(0, len(word) - PIECE + 1)]
-        for piece in pieces:
-            term = zlib.crc32(piece.encode("utf-8", "surrogatepass")) % TERMS
-            weights[term] = weights.get(term, 0) + n
+        if len(word) <= STRETCH:
+            weights[word] = weights.get(word, 0) + n
+            continue
+        for i in range(len(word) - STRETCH + 1):
+            piece = word[i : i + STRETCH]
+            weights[piece] = weights.get(piece, 0) + n
     return weights
 
 
 def fingerprint(text: str) -> str:
-    """SAMPLES samples of DIGITS hex digits each; equal texts have equal fingerprints. A text without words has the empty string."""
-    weights = term_weights(text)
-    if not weights:
-        return ""
-    r, beta, log_c, single = _variables()
-    terms = np.fromiter(weights.keys(), np.int64, len(weights))
-    counts = np.fromiter(weights.values(), np.int64, len(weights))
-    order = np.argsort(terms)
-    terms, counts = terms[order], counts[order]
-    once, more = terms[counts == 1], terms[counts > 1]
-    least, term, step = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
-    places = np.arange(SAMPLES)
-    for i in range(0, len(once), 8192):
-        values = single[once[i : i + 8192]]
-        at = values.argmin(axis=0)
-        found = values[at, places]
-        better = found < least
-        least[better], term[better] = found[better], once[i : i + 8192][at][better]
-    for i in range(0, len(more), 8192):
-        some = more[i : i + 8192]
-        rr, bb = r[some], beta[some]
-        t = np.floor(np.log(counts[counts > 1][i : i + 8192].astype(np.float32))[:, None] / rr + bb)
-        values = log_c[some] - rr * (t - bb) - rr
-        at = values.argmin(axis=0)
-        found = values[at, places]
-        better = found < least
-        least[better], term[better], step[better] = found[better], some[at][better], t[at, places][better].astype(np.int64)
-    mixed = (term * 2_654_435_761 + (step + 1) * 40_503 * 65_537) % 2**32 >> 16
-    return "".join(f"{x:0{DIGITS}x}" for x in mixed.tolist())
+    """The fingerprint of a text."""
+    return sampler().fingerprint(text)
 
 
 def likeness(a: str, b: str) -> float:
@@ -94,58 +146,65 @@ def likeness(a: str, b: str) -> float:
     return sum(a[i : i + DIGITS] == b[i : i + DIGITS] for i in range(0, len(a), DIGITS)) / (len(a) // DIGITS)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (bucket, guard, doc_id, text), dealt and sorted so that in a bucket each document is followed by the next by id; the last by a guard, the next bucket's first.
-
-    Bucket bounds are quantiles of the ids. Only each bucket's first id is gathered, and its document sent to the bucket before.
-    Nulls of the id come first, equal ids are in the order of their texts. Null texts count as empty.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
-    bounds = quantile_bounds(docs, "doc_id", docs.count(), BUCKET_DOCS)
-    dealt = with_bucket(docs, "doc_id", bounds, "bucket")
-    key = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")
-    firsts = sorted((r["bucket"], r["first"]["doc_id"]) for r in with_bucket(docs.select("doc_id"), "doc_id", bounds, "bucket").groupBy("bucket").agg(F.min(key).alias("first")).collect())
-    guards = [(doc_id is None, doc_id or 0, firsts[i - 1][0]) for i, (_, doc_id) in enumerate(firsts)]
-    guards_df = docs.sparkSession.createDataFrame(guards, "no_id boolean, first_id long, before int")
-    if len(guards) <= BROADCAST_BUCKETS:
-        guards_df = F.broadcast(guards_df)
-    same = (F.col("doc_id").isNull() == F.col("no_id")) & (F.coalesce("doc_id", F.lit(0)) == F.col("first_id"))
-    here = F.struct(F.col("bucket"), F.lit(False).alias("guard"))
-    both = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guard")))).otherwise(F.array(here))
-    rows = dealt.join(guards_df, same, "left").select(F.explode(both).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
-    return rows.repartition(len(firsts) or 1, "bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").asc_nulls_first(), "text")
-
-
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as many first code points of the following one (or all that it has)."""
     cut = len(text) // 2
     return text[: len(text) - cut] + following[:cut]
 
 
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+KINDS = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2
+
+
+def _compared(doc: int | None, text: str, print_of_text: str, following: str, print_of_following: str) -> tuple:
+    new = edited(text, following)
+    e = fingerprint(new)
+    return (doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), print_of_text, e, likeness(print_of_text, e), likeness(print_of_text, print_of_following))
+
+
 def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one for each row of docs.
 
-    A task goes through its buckets in order and holds one document besides the batch. A lone document follows itself.
+    Documents are dealt by ranges of ids, and each task goes through its range in order, holding one document besides the batch.
+    Only the last document of a range lacks its next one: it waits beside the range's first, one row of texts for each task, and
+    those few rows are joined afterwards. Nulls of the id come first, equal ids are in the order of their texts; null texts count
+    as empty; very long texts are read whole. After the last document comes the first, so a lone one follows itself.
     """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    tasks = max(partitions_of(docs, "text", PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [*NAMES, "part", "first_text", "last_text"]
+    kinds = [*KINDS, pa.int64(), pa.string(), pa.string()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: str | None = None
         held: tuple | None = None
-        print_of = functools.lru_cache(maxsize=4)(fingerprint)
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        for b in batches:
-            for k in range(0, len(b), 500):
-                out = []
-                for bucket, guard, doc, text in zip(*(c.to_pylist() for c in b.slice(k, 500).columns), strict=True):
-                    if held and held[0] == bucket:
-                        _, before, old = held
-                        new = edited(old, text)
-                        a, e, n = print_of(old), fingerprint(new), print_of(text)
-                        out.append((before, len(old), hashlib.sha256(new.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, n)))
-                    held = None if guard else (bucket, doc, text)
-                if out:
-                    kinds = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return with_next(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+        for b in small_batches(batches, 500):
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first = text if first is None else first
+                at = held[2] if held and held[1] == text else fingerprint(text)
+                if held:
+                    out.append((*_compared(*held, text, at), None, None, None))
+                held = (doc, text, at)
+            if out:
+                yield table(out)
+        if held:
+            yield table([(held[0], None, None, held[2], None, None, None, TaskContext.get().partitionId(), first, held[1])])
+
+    found = materialize(in_key_order(docs, tasks).mapInArrow(run, f"{RESULT}, part long, first_text string, last_text string"), "fingerprints")
+    ends = found.where("part IS NOT NULL")
+    # One number a task: which range comes after, the first one after the last.
+    order = ends.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    firsts = ends.select(F.col("part").alias("after"), F.col("first_text").alias("following"))
+    joined = ends.select("part", "doc_id", "last_text", "fingerprint").join(order, "part").join(firsts, "after").select("doc_id", "last_text", "fingerprint", "following")
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
+            rows = [_compared(doc, text, at, following, fingerprint(following)) for doc, text, at, following in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+
+    return found.where("part IS NULL").select(NAMES).unionByName(joined.mapInArrow(finish, RESULT))
