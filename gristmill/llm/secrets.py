@@ -7,8 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: letters, digits and the signs of common encodings, at least so many.
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
+from gristmill.llm.common import discard, materialize
+
+#: Words that stand before secrets and before digests that are none, and paths of examples.
+NAMING = "token|secret|passw(?:or)?d|passphrase|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|signature"
+DIGESTS = "commit|revision|rev|sha-?[0-9]*|md5|hash|digest|checksum|etag|uuid|build|version"
+SAMPLES = "test|example|sample|fixture|mock|demo|docs?/"
+#: A name that says what is assigned to it, with the assignment. It is no part of the candidate that follows.
+ASSIGNED = rf"(?=[A-Za-z0-9_\-]{{3,40}}+[\"'`]?[ \t]{{0,3}}+[:=])(?=[A-Za-z0-9_\-]{{0,24}}?(?i:{NAMING}))[A-Za-z0-9_\-]{{3,40}}+[\"'`]?[ \t]{{0,3}}[:=]>?[ \t]{{0,3}}[\"'`]?"
+#: What is looked at: what is assigned to such a name, private key blocks, signed web tokens, a name and password in an
+#: address, and runs of sixteen and more letters, digits and signs of common encodings.
+CANDIDATE = "|".join(
+    [
+        rf"(?<![A-Za-z0-9_\-]){ASSIGNED}[^\s\"'`<>,;]{{6,}}",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}",
+        r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?",
+        r"(?<=://)[^\s/:@\"'`]{1,64}:[^\s/@\"'`]{3,128}(?=@)",
+        r"[A-Za-z0-9_+/\-]{16,}={0,2}(?![A-Za-z0-9])",
+    ]
+)
 #: Characters of text on either side that neighbouring words are taken from.
 CONTEXT = 40
 #: Labelled findings that the forest is trained on where the caller has none, and the forest's size.
@@ -16,14 +33,12 @@ FINDINGS = 6000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-#: Words that stand before secrets, paths of examples, and common words and syllables that readable names are made of.
-NAMING = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|signature"
-SAMPLES = "test|example|sample|fixture|mock|demo|docs?/"
+#: Common words and syllables that readable names are made of.
 DICTIONARY = (
     "the|and|ing|tion|ment|able|ness|less|ful|ould|here|there|this|that|with|from|have|were|which|their|other|about|would|name|word|line|page|file|data|user|"
     "example|test|sample|value|number|string|index|table|list|part|work|time|year|people|place|thing|ver|ent|est|ion|ten|ein|sch|lich|ung|heit|keit|eux|eau|oi|que|elle|mente|ci|ado|os|es|er|on|an|en|in|re|th|st|nd|ed|ly|or|he|ha"
 )
-FEATURES = ["length", "digits", "uppers", "transitions", "variety", "hex", "covered", "sample_path", "named", "assigned", "quoted", "vowels"]
+FEATURES = ["length", "digits", "uppers", "transitions", "variety", "hex", "covered", "sample_path", "named", "digest", "assigned", "quoted", "vowels"]
 
 
 #: A tree: a leaf's share of secrets, or (feature, threshold, tree at or below it, tree above it).
@@ -38,15 +53,26 @@ def _running_sums(numbers: Column, block: int = 512) -> Column:
     return F.flatten(F.zip_with(blocks, before(totals), lambda xs, start: F.transform(before(xs), lambda x: x + start)))
 
 
-def _findings(text: Column, path: Column) -> Column:
-    """An array of (start, candidate, before, after, path) for a text: it is split at its candidates, and the parts between give places and neighbours."""
-    found, between = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1), F.split(text, CANDIDATE, -1)
-    ends = F.zip_with(found, F.slice(between, 2, F.greatest(F.size(found), F.lit(1))), lambda c, a: F.struct(c.alias("candidate"), F.substring(a, 1, CONTEXT).alias("after"), F.length(c).alias("n")))
-    pairs = F.zip_with(ends, F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), lambda e, b: F.struct(e["candidate"].alias("candidate"), F.right(b, F.lit(CONTEXT)).alias("before"), e["after"].alias("after"), (e["n"] + F.length(b)).alias("n"), F.length(b).alias("gap")))
-    sums = _running_sums(F.transform(pairs, lambda x: x["n"]))
-    return F.zip_with(
-        pairs, sums, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), x["candidate"].alias("candidate"), x["before"].alias("before"), x["after"].alias("after"), path.alias("path"))
-    )
+def _with_findings(rows: DataFrame, text: Column, path: Column) -> DataFrame:
+    """Adds __m, the matches of a text, __gap, what stands between them, and __found, an array of (start, candidate, before, after, path).
+
+    Each step is a column of its own, so that a text is searched once for each of the two.
+    """
+    rows = rows.withColumn("__m", F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 0)).withColumn("__gap", F.split(text, CANDIDATE, -1))
+    rows = rows.withColumn("__n", F.zip_with("__m", F.slice("__gap", 1, F.greatest(F.size("__m"), F.lit(1))), lambda m, g: F.length(m) + F.length(g)))
+    rows = rows.withColumn("__at", _running_sums(F.col("__n")))
+
+    def finding(i: Column) -> Column:
+        m, gap = F.get("__m", i), F.get("__gap", i)
+        candidate = F.regexp_replace(m, f"^{ASSIGNED}", "")
+        prefix = F.left(m, F.length(m) - F.length(candidate))
+        before = F.concat(F.right(F.coalesce(F.get("__m", i - 1), F.lit("")), F.lit(CONTEXT)), F.right(gap, F.lit(CONTEXT)), prefix)
+        after = F.concat(F.left(F.get("__gap", i + 1), F.lit(CONTEXT)), F.left(F.coalesce(F.get("__m", i + 1), F.lit("")), F.lit(CONTEXT)))
+        start = F.get("__at", i) + F.length(gap) + F.length(prefix)
+        return F.struct(start.cast("int").alias("start"), candidate.alias("candidate"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), path.alias("path"))
+
+    numbers = F.when(F.size("__m") > 0, F.sequence(F.lit(0), F.size("__m") - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("__found", F.transform(numbers, finding))
 
 
 def features(get: Callable[[str], Column]) -> dict[str, Column]:
@@ -66,6 +92,7 @@ def features(get: Callable[[str], Column]) -> dict[str, Column]:
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")).cast("double") / n,
         "sample_path": flag(F.lower(get("path")).rlike(SAMPLES)),
         "named": flag(F.lower(before).rlike(f"({NAMING})[^a-z0-9\\n]{{0,6}}$")),
+        "digest": flag(F.lower(before).rlike(f"\\b({DIGESTS})[^a-z0-9\\n]{{0,6}}$")),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & get("after").rlike("^[\"'`]")),
         "vowels": share("[^aeiouAEIOU]"),
@@ -73,37 +100,79 @@ def features(get: Callable[[str], Column]) -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Rows (candidate, before, after, path, secret): findings with labels, made by a rule from their numbers.
+    """Rows (candidate, before, after, path, secret): what a scan finds in n texts that are made by a rule from their numbers, with labels.
 
-    Six of twelve kinds are secrets: hexadecimal, base64 and mixed keys that are named, assigned or quoted. The others are what scans
-    wrongly report: long words, names joined by signs, numbers, digests and keys in prose, placeholders, keys in paths of examples.
+    Half of the kinds of texts hold a secret: keys, short passwords with other signs, signed tokens, addresses with a password
+    and key blocks. The others hold what scans wrongly report: long words, names, numbers, digests in prose, placeholders, plain
+    words and code after a naming word, keys in paths of examples. A finding is a secret if it is the one that was put in.
     """
     i = F.col("id")
-    hexes = F.concat(F.md5(F.concat(i, F.lit("a"))), F.md5(F.concat(i, F.lit("b"))))
-    base = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(i, F.lit("c")).cast("binary"), 256))), "=", "")
-    size = (20 + F.pmod(F.xxhash64("id"), F.lit(24))).cast("int")
-    syllables = F.array(*[F.lit(x) for x in "the er on ing tion re ea th nd st or ly sch ein lich ung eau oi que mente cion ado ble ment ness with from inter".split()])
-    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.get(syllables, F.pmod(F.xxhash64(i, k), F.lit(28)).cast("int"))), "")
-    names = F.array(*[F.lit(x) for x in ("token", "secret_key", "api_key", "password", "ACCESS_KEY", "auth")])
-    name = F.get(names, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int"))
-    prose = F.concat(F.substring(words, 1, 6), F.lit(" "), F.substring(words, 3, 5), F.lit(" "))
-    assign = F.concat(prose, name, F.lit(" = "))
+    pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
+    one_of = lambda k, *xs: F.get(F.array(*[F.lit(x) for x in xs]), pick(k, len(xs)))
+    sha = lambda x: F.base64(F.unhex(F.sha2(F.concat(i, F.lit(x)).cast("binary"), 256)))
+
+    def invented(k: int) -> Column:
+        """Fifteen letters, consonants and vowels in turn, by the number."""
+        sets = ("bcdfghlmnprst", "aeiou", "lmnrst")
+        return F.concat(*[F.substring(F.lit(sets[j % 3]), F.pmod(F.xxhash64(i, F.lit(k), F.lit(j)), F.lit(len(sets[j % 3]))).cast("int") + 1, 1) for j in range(15)])
+
+    parts = spark.range(n).select(
+        i,
+        F.concat(F.md5(F.concat(i, F.lit("a"))), F.md5(F.concat(i, F.lit("b")))).alias("hexes"),
+        F.regexp_replace(sha("c"), "=", "").alias("base"),
+        F.regexp_replace(sha("d"), "[=+/]", "").alias("more"),
+        (F.lit(20) + pick(2, 24)).alias("size"),
+        invented(1).alias("word"),
+        invented(2).alias("other"),
+        one_of(1, "token", "secret_key", "api_key", "password", "ACCESS_KEY", "auth_token", "DB_PASSWORD", "pwd").alias("name"),
+        one_of(3, ' = "', ': "', "='", ' => "').alias("assign"),
+        one_of(4, *"!@#$%&*?").alias("sign"),
+    )
+    hexes, base, more, size, word, other, name, assign, sign = (F.col(c) for c in parts.columns[1:])
+    short = F.concat(F.substring(word, F.lit(1), 3 + pick(5, 5)), sign, F.substring(more, F.lit(1), 3 + pick(6, 4)), pick(7, 90).cast("string"))
+    prose = F.concat(F.substring(word, 1, 5), F.lit(" "), F.substring(other, 3, 6), F.lit(" "))
+    tail = F.concat(F.lit('" '), F.substring(other, 1, 7), F.lit(" ."))
+    none = F.lit(None).cast("string")
+    after = F.concat(F.lit(" "), prose)
+    jwt = F.concat(F.lit("eyJ"), F.substring(more, 1, 20), F.lit(".eyJ"), more, F.lit("."), F.reverse(more))
+    pem = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base, F.lit("\n"), more, F.lit("\n"))
     kinds = [
-        (F.substring(hexes, 1, 40), F.concat(assign, F.lit('"')), '" ', "src/app", 1),
-        (F.substring(hexes, 1, 32), F.concat(prose, name, F.lit(": ")), " ", "src/app", 1),
-        (F.substring(base, 1, size), F.concat(assign, F.lit('"')), '"\n', "config", 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(assign, F.lit("'")), "' ", "config", 1),
-        (base, F.concat(prose, F.lit("Bearer ")), " ", "src/app", 1),
-        (F.substring(base, 1, size), F.concat(prose, name, F.lit("=")), "\n", "env", 1),
-        (F.substring(words, 1, size), prose, " ", "src/app", 0),
-        (F.concat_ws("_", F.substring(words, 1, 7), F.substring(words, 5, 8), F.substring(words, 2, 6)), prose, " ", "src/app", 0),
-        (F.substring(F.conv(F.substring(hexes, 1, 14), 16, 10), 1, 16), prose, " ", "src/app", 0),
-        (F.substring(hexes, 1, 40), F.concat(prose, F.lit("commit ")), " ", "src/app", 0),
-        (F.substring(F.repeat(F.lit("xxxxYOUR_KEY_HERE0000"), 3), 1, size), F.concat(assign, F.lit('"')), '" ', "src/app", 0),
-        (F.substring(base, 1, size), F.concat(assign, F.lit('"')), '" ', "tests/fixtures/sample", 0),
+        (F.concat(prose, name, assign), F.substring(hexes, 1, 40), tail, "src/app"),
+        (F.concat(prose, name, F.lit(": ")), F.substring(hexes, 1, 32), F.lit(" "), "src/app"),
+        (F.concat(prose, name, assign), F.substring(base, F.lit(1), size), tail, "config"),
+        (F.concat(prose, name, assign), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), tail, "config"),
+        (F.concat(prose, F.lit("Authorization: Bearer ")), F.concat(more, F.substring(hexes, 1, 8)), F.lit(" "), "src/app"),
+        (F.concat(F.upper(F.substring(word, 1, 4)), F.lit("_"), name, F.lit("=")), F.substring(base, F.lit(1), size), F.lit("\n"), "env"),
+        (F.concat(prose, name, assign), short, tail, "src/app"),
+        (F.concat(name, F.lit(": ")), short, F.lit("\n"), "config"),
+        (F.concat(prose, F.lit("jwt ")), jwt, F.lit(" "), "src/app"),
+        (F.concat(prose, F.lit("postgres://")), F.concat(F.substring(word, 1, 5), F.lit(":"), short), F.lit("@db.host/x"), "config"),
+        (prose, pem, F.lit("-----END RSA PRIVATE KEY-----"), "keys"),
+        (F.concat(prose, name, assign), F.concat(more, F.lit("-"), F.substring(hexes, 1, 8)), tail, "src/app"),
+        (F.concat(prose, word, other, F.lit(" ")), none, after, "src/app"),
+        (F.concat(prose, F.concat_ws("_", F.substring(word, 1, 7), F.substring(other, 1, 8), F.substring(word, 4, 6))), none, F.lit("() "), "src/app"),
+        (F.concat(prose, F.substring(F.conv(F.substring(hexes, 1, 14), 16, 10), 1, 16)), none, after, "src/app"),
+        (F.concat(prose, one_of(9, "commit ", "sha256: ", "md5 ", "digest = ", "revision "), F.substring(hexes, 1, 40)), none, after, "src/app"),
+        (F.concat(prose, name, assign, F.substring(F.repeat(F.lit("xxxxYOUR_KEY_HERE0000"), 3), F.lit(1), size)), none, tail, "src/app"),
+        (F.concat(prose, name, assign, F.substring(base, F.lit(1), size)), none, tail, "tests/fixtures/sample"),
+        (F.concat(prose, name, F.lit(": "), F.substring(other, F.lit(1), 6 + pick(8, 7))), none, after, "src/app"),
+        (F.concat(prose, name, F.lit(" = os.environ['"), F.upper(word), F.lit("']")), none, after, "src/app"),
+        (F.concat(prose, name, F.lit(" = "), F.substring(word, 1, 5), F.lit(".get("), F.substring(other, 1, 6)), none, F.lit(") "), "src/app"),
+        (F.concat(prose, F.lit("https://"), F.substring(word, 1, 8), F.lit(".org/"), other, F.lit("/"), word), none, F.lit(" "), "src/app"),
+        (F.concat(prose, F.concat_ws("-", F.substring(word, 1, 5), F.substring(other, 1, 6), F.substring(word, 5, 6), F.lit("2024"))), none, after, "src/app"),
+        (F.concat(prose, F.upper(F.concat(word, other))), none, after, "src/app"),
     ]
-    rows = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(a).alias("after"), F.lit(p).alias("path"), F.lit(y).alias("secret")) for c, b, a, p, y in kinds])
-    return spark.range(n).select(F.get(rows, F.pmod("id", F.lit(len(kinds))).cast("int")).alias("r")).select("r.*")
+    made = None
+    for k, (b, planted, a, p) in enumerate(kinds):
+        row = F.struct(F.concat(b, F.coalesce(planted, F.lit("")), a).alias("text"), planted.alias("planted"), F.lit(p).alias("at"))
+        of_kind = F.pmod("id", F.lit(len(kinds))) == k
+        made = F.when(of_kind, row) if made is None else made.when(of_kind, row)
+    texts = materialize(parts.select(made.alias("r")).select("r.*"), "texts-of-secrets")
+    found = _with_findings(texts, F.col("text"), F.col("at")).select("planted", F.explode_outer("__found").alias("f")).where("f IS NOT NULL")
+    findings = found.select("f.candidate", "f.before", "f.after", "f.path", F.coalesce(F.col("f.candidate") == F.trim(F.col("planted")), F.lit(False)).cast("int").alias("secret"))
+    findings = materialize(findings, "findings")
+    discard(texts)
+    return findings
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[Tree]:
@@ -133,35 +202,42 @@ def _vote(tree: Tree, get: Callable[[str], Column]) -> Column:
     return F.when(get(feature) <= threshold, _vote(low, get)).otherwise(_vote(high, get))
 
 
-def _scored(found: Column, forest: list[Tree], threshold: float) -> Column:
-    """An array of findings, each with score, the mean over trees, and is_secret."""
-    kept = ("start", "candidate", "before", "after", "path")
-    measured = F.transform(found, lambda x: F.struct(*[x[k].alias(k) for k in kept], *[v.alias(k) for k, v in features(lambda k: x[k]).items()]))
-    mean = lambda x: F.round(sum((_vote(t, lambda k: x[k]) for t in forest), F.lit(0.0)) / len(forest), 6)
-    voted = F.transform(measured, lambda x: F.struct(*[x[k].alias(k) for k in kept], mean(x).alias("score")))
-    return F.transform(voted, lambda x: F.struct(*[x[k].alias(k) for k in (*kept, "score")], (x["score"] >= threshold).alias("is_secret")))
+def _mean(forest: list[Tree], get: Callable[[str], Column]) -> Column:
+    return F.round(sum((_vote(t, get) for t in forest), F.lit(0.0)) / len(forest), 6)
 
 
 def _path(docs: DataFrame, path_col: str | None) -> Column:
-    return F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
+    return F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, start, candidate, before, after, path, score, is_secret), one for each candidate, repeated or not; start counts characters from 0.
 
-    Without findings, those made by rule are learned from. Texts without a candidate, null ones too, are passed over by one
-    search. A path that is null, or no path_col, counts as empty. The work of a row stays in it: nothing is joined or shuffled.
+    Without findings, those made by rule are learned from. Texts without a candidate, null and empty ones too, are passed over by
+    one search; very long ones are searched whole. A path that is null, or no path_col, counts as empty. The work of a row stays
+    in it: nothing is joined or shuffled. An empty table gives no rows.
     """
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _path(docs, path_col).alias("path")).where(F.col("text").rlike(CANDIDATE))
-    return kept.select("doc_id", F.explode(_scored(_findings(F.col("text"), F.col("path")), forest, threshold)).alias("r")).select("doc_id", "r.*")
+    kept = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _path(docs, path_col).alias("path")).where(F.col("text").rlike(CANDIDATE))
+    # The outer form: from the inner one Spark infers a filter on the array, for which all steps before would be computed again.
+    found = _with_findings(kept, F.col("text"), F.col("path")).select("doc_id", F.explode_outer("__found").alias("r")).where("r IS NOT NULL").select("doc_id", "r.*")
+    return scored(found, forest, threshold)
+
+
+def scored(findings: DataFrame, forest: list[Tree], threshold: float = THRESHOLD) -> DataFrame:
+    """Adds score, the mean over trees, and is_secret to findings."""
+    names = {f"__{k}": v for k, v in features(F.col).items()}
+    measured = findings.withColumns(names).withColumn("score", _mean(forest, lambda k: F.col(f"__{k}")))
+    return measured.drop(*names).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def mask_secrets(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, rows and columns alike, with each secret in text_col replaced by MASK. Null texts stay null."""
+    """docs, rows and columns alike, with each secret in text_col replaced by MASK; the name that it is assigned to stays. Null texts stay null, others are searched whole."""
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    text = F.col(text_col)
-    voted = _scored(_findings(text, _path(docs, path_col)), forest, threshold)
-    parts = F.transform(voted, lambda x: F.when(x["is_secret"], F.lit(MASK)).otherwise(x["candidate"]))
-    masked = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), parts, lambda b, c: F.concat(b, F.coalesce(c, F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), masked).otherwise(text))
+    text = F.col(f"`{text_col}`")
+    rows = _with_findings(docs, text, _path(docs, path_col))
+    measured = F.transform("__found", lambda x: F.struct(F.length(x["candidate"]).alias("n"), *[v.alias(k) for k, v in features(lambda k: x[k]).items()]))
+    voted = F.transform(measured, lambda x: F.struct(x["n"].alias("n"), (_mean(forest, lambda k: x[k]) >= threshold).alias("is_secret")))
+    parts = F.zip_with("__m", voted, lambda m, x: F.when(x["is_secret"], F.concat(F.left(m, F.length(m) - x["n"]), F.lit(MASK))).otherwise(m))
+    masked = F.array_join(F.zip_with("__gap", parts, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return rows.withColumn(text_col, F.when(F.size("__m") > 0, masked).otherwise(text)).select([F.col(f"`{c}`") for c in docs.columns])
