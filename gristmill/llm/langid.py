@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import clean_text, small_batches
 
-#: About as many documents are learned from, chosen by a hash of their ids.
-TRAIN_DOCS = 20_000
+#: About as many documents are learned from, chosen by a hash of their ids; of a language, at least so many or all that it has.
+TRAIN_DOCS, LEAST_DOCS = 20_000, 200
 #: Character triples are hashed to so many counts for each language.
 TRIPLES = 32_768
 SMOOTHING = 0.5
@@ -21,6 +21,8 @@ SMOOTHING = 0.5
 SWITCH = 12.0
 #: A word's score is cut off at so many nats below its best language's, so that no single odd word forces a change.
 LARGEST_GAP = 10.0
+#: The score of a language that a word's script rules out: no path through it is ever best.
+RULED_OUT = -1e6
 #: A language counts as written in a script if so large a share of its words is.
 SCRIPT_SHARE = 0.02
 #: Words remembered per worker.
@@ -61,13 +63,15 @@ def word_triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> Model:
     """Learns from documents with a text and a language: counts of triples and scripts, summed over tasks. About limit documents are used.
 
-    Only the counts reach the driver: at most TRIPLES and the number of scripts for each language.
+    Every language is learned, a rare one from LEAST_DOCS of its documents or all. Only the counts reach the driver: at most
+    TRIPLES and the number of scripts for each language. An empty table gives a model without languages.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    n = docs.count()
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs, n = sorted(sizes), sum(sizes.values())
     if n > limit:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+        share = F.create_map(*[F.lit(x) for lang, m in sizes.items() for x in (lang, int(1_000_000 * min(1, max(limit / n, LEAST_DOCS / m))))])
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")])
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +110,7 @@ class Tagger:
         out = fits.any(axis=1)[:, None] & ~fits
         scores[out] = -np.inf
         scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -LARGEST_GAP)
+        scores[out] = RULED_OUT
         scores[scripts < 0] = 0
         at = len(self.known)
         self.scores[at : at + len(new)], self.letters[at : at + len(new)] = scores, letters
@@ -173,7 +178,8 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, lang_pred, score, spans), one for each row of docs; spans: array of (first_word, end_word, lang).
 
-    Texts that are null or have no letter are und with score 0. Equal shares go to the first language by name.
+    Texts that are null or have no letter are und with score 0. Equal shares go to the first language by name. Very long texts
+    are read whole; repeated rows get equal rows; an empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
