@@ -1,6 +1,7 @@
 """Substring dedup: content-defined chunks, cut where a rolling gear hash says so, are compared by digest.
 
-A cut depends on the sixteen bytes before it alone, so text that is inserted or removed shifts no chunk but those around it.
+A cut depends on the bytes just before it alone, so text that is inserted or removed shifts no chunk but those around it. Cuts are
+at white space, and inside long stretches without any also between characters.
 Runs of chunks that another document had first are repeated passages.
 """
 
@@ -14,12 +15,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, materialize, small_batches
+from gristmill.llm.common import clean_text, let_go, materialize, small_batches
 
 #: One white space in so many is a cut, so a chunk has about as many words.
 WORDS_PER_CHUNK = 5
-#: Bytes after which a chunk without a cut ends.
+#: Where the last STRETCH bytes have no white space, one character in so many is a cut.
+STRETCH, CHARS_PER_CHUNK = 32, 32
+#: Bytes after which a chunk without a cut ends, which only text that repeats a few characters over and over meets.
 LONGEST = 512
+#: A chunk counts as so many words as it has, and at least as one for so many bytes: texts without spaces have passages too.
+BYTES_PER_WORD = 16
 #: Words in a run that one earlier document had, for the run to be a repeated passage. A passage of 50 words that two documents
 #: share begins and ends inside chunks, so that a run holds fewer of its words.
 MIN_WORDS = 20
@@ -44,8 +49,12 @@ def chunk_texts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     space = _SPACES[data]
     spots = np.flatnonzero(space)
     cuts = spots[(gear[spots - 1] >> 4) % WORDS_PER_CHUNK == 0]
-    chars = np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)
-    words = np.cumsum(~space[1:] & (space[:-1] | (data[:-1] == 0)), dtype=np.int64)
+    dense = np.flatnonzero(((gear[:-1] >> 4) % CHARS_PER_CHUNK == 0) & (data[1:] & 0xC0 != 0x80)) + 1
+    blank = np.flatnonzero(space | (data == 0))
+    dense = dense[dense - blank[np.maximum(np.searchsorted(blank, dense) - 1, 0)] > STRETCH]
+    cuts = np.union1d(cuts, dense) if len(dense) else cuts
+    chars = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
+    words = np.cumsum(~space[1:] & (space[:-1] | (data[:-1] == 0)), dtype=np.int32)
     at = WINDOW
     for n, text in enumerate(texts):
         end = at + len(text)
@@ -80,8 +89,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         names = ["digest", "doc_id", "doc_key", "start", "chars", "words", "again"]
-        for b in small_batches(batches, 512):
+        for b in small_batches(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             digests: list[int] = []
             again: list[bool] = []
@@ -97,7 +107,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 counts.append(len(ends))
                 starts.append(np.concatenate(([0], char_ends[:-1])) if len(ends) else char_ends)
                 chars.append(np.diff(char_ends, prepend=0))
-                words.append(np.diff(word_ends, prepend=0))
+                words.append(np.maximum(np.diff(word_ends, prepend=0), np.diff(ends, prepend=0) // BYTES_PER_WORD))
             if not digests:
                 continue
             rows = pa.array(np.repeat(np.arange(len(texts)), counts))
@@ -115,7 +125,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A passage is a run of neighbouring repeated chunks in which the chunks first seen in one document, first_doc_id, have min_words
     words at least. The first occurrence of a passage is no row. Rows that share an id are no repeats of each other; rows without
-    an id repeat others' passages and are never named. Null, empty and short texts have no spans.
+    an id repeat others' passages and are never named. Null, empty and short texts have no spans; very long ones are read whole; an empty table gives no rows.
     """
     found = chunks(docs, id_col, text_col)
     repeats = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_doc"), "repeated-chunks")
@@ -163,11 +173,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs, columns and rows alike, with repeated passages cut out of text_col; other columns are left as they are. Null texts stay null."""
     spans = repeated_spans(docs, id_col, text_col, min_words)
     cuts = materialize(spans.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "repeated-spans")
-    keyed = docs.withColumn("__doc_key", F.xxhash64(F.col(text_col)))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn("__doc_key", F.xxhash64(text))
     cuts = cuts.select(F.col("doc_id").alias("__doc_id"), F.col("doc_key").alias("__doc_key2"), F.col("cuts").alias("__cuts"))
-    joined = keyed.join(cuts, (keyed["__doc_key"] == cuts["__doc_key2"]) & keyed[id_col].cast("long").eqNullSafe(cuts["__doc_id"]), "left")
+    joined = keyed.join(cuts, (keyed["__doc_key"] == cuts["__doc_key2"]) & keyed[f"`{id_col}`"].cast("long").eqNullSafe(cuts["__doc_id"]), "left")
     # The kept parts lie between one cut's end and the next one's start.
     ends = F.concat(F.array(F.lit(0)), F.col("__cuts.end"))
-    starts = F.concat(F.col("__cuts.start"), F.array(F.length(F.col(text_col))))
-    kept = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text_col), a + 1, b - a)), "")
-    return joined.select([F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else keyed[c] for c in docs.columns])
+    starts = F.concat(F.col("__cuts.start"), F.array(F.length(text)))
+    kept = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")
+    return joined.select([F.when(F.col("__cuts").isNull(), text).otherwise(kept).alias(c) if c == text_col else keyed[f"`{c}`"] for c in docs.columns])
