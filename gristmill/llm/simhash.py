@@ -7,12 +7,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import connected_components, materialize
+from gristmill.llm.common import connected_components, materialize, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RADIUS = 2
@@ -22,25 +22,33 @@ BLOCKS = tuple(itertools.combinations(range(4), 2))
 CHUNK = 2048
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text: a bit is set if it is set in over half the shingles' hashes; zero without words.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each of a text's shingles, repeats included, as unsigned longs; none without words.
 
-    A-Z are lower-cased. Shingles are words joined by single spaces, repeats included; a text of fewer words is one shingle.
+    A-Z are lower-cased. Shingles are words joined by single spaces; a text of fewer words is one shingle.
     """
     found = WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(found))
     hashed = xxhash.xxh64_intdigest
-    h = [hashed(line[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+    return np.fromiter((hashed(line[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), "<u8", len(found) - k + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number in which a bit is set if it is set in over half the hashes; zero without any."""
     bits = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65536):
-        part = np.array(h[i : i + 65536], "<u8")
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<u8")[0])
+    for i in range(0, len(hashes), 65536):
+        bits += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str | None, words: int = 3) -> int:
+    """The fingerprint of a text."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 class BKTree:
@@ -76,12 +84,12 @@ class BKTree:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Rows (doc_id, fp): fp is the fingerprint's bits as a signed long. One row for each row of docs; null texts count as empty."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([simhash(t, words) for t in b["text"]], "<u8").view("<i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            fp = np.array([simhash(t, words) for t in b.column(1).to_pylist()], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -107,15 +115,15 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     units = units.select("f", "v", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("tree"), "fp")
     units = units.groupBy("f", "v", "i", "j").agg(F.collect_list(F.when(F.col("tree"), F.col("fp"))).alias("tree"), F.collect_list(F.when(~F.col("tree"), F.col("fp"))).alias("queries"))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
             out: list[tuple[int, int]] = []
-            for members, queries in zip(b["tree"], b["queries"], strict=True):
-                out += _joins([int(x) & (2**64 - 1) for x in members], [int(x) & (2**64 - 1) for x in queries], radius)
+            for members, queries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out += _joins([x & (2**64 - 1) for x in members], [x & (2**64 - 1) for x in queries], radius)
             found = np.array(out, "<u8").reshape(-1, 2).view("<i8")
-            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
-    return units.select("tree", "queries").mapInPandas(run, "a long, b long")
+    return units.select("tree", "queries").mapInArrow(run, "a long, b long")
 
 
 def _joins(members: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
@@ -163,4 +171,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without the documents whose group has one with a smaller id; columns as they are. Rows that share an id stay or go together; those without one go where a named one stays."""
     classes = near_duplicates(docs, id_col, text_col, words, radius)
     gone = materialize(classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")

@@ -6,7 +6,6 @@ letters. Its character lattice is decoded by Viterbi under a character language
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, small_batches
+from gristmill.llm.common import clean_text, let_go, small_batches
 
 #: About as many labelled documents are learned from, chosen by a hash of their ids.
 TRAIN_DOCS = 20_000
@@ -26,8 +25,8 @@ WORDS, LEAST_DOCS, LEAST_ODDS, LEAST_SIGMAS = 2000, 5, 2.0, 3.0
 STEMS = (4, 5, 6)
 #: Costs in nats of a look-alike, of a sign that stands for any letter, of a dropped separator and of a dropped repeat, of a gap that is read between spaced letters and of a separator that ends a word.
 LOOK_ALIKE, ANY_LETTER, SEPARATOR, REPEAT, GAP, BREAK = 1.0, 2.5, 0.7, 0.7, 1.5, 1.5
-#: Tokens remembered per worker.
-REMEMBERED = 400_000
+#: About so many bytes of tokens and units are remembered by a task; the memory starts anew when it is full.
+REMEMBERED = 40_000_000
 #: Signs and the letters they look like.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 ANY = "*#%?"
@@ -65,13 +64,14 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts character triples of words over all documents: each task adds up its own, the sums are at most N**3."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = np.full(256, OTHER, np.int64)
+        let_go()
+        code = np.full(256, OTHER, np.int32)
         for c, i in CODES.items():
             code[ord(c)] = code[ord(c.upper())] = i
         # Anything below the letters, or between them, ends a word; bytes of other characters are other letters.
         code[[b for b in range(128) if not chr(b).isalpha()]] = 0
         counts = np.zeros(N**3, np.int64)
-        for b in small_batches(batches, 512):
+        for b in small_batches(batches):
             raw = np.frombuffer(b"\n\n" + "\n\n".join(b.column(0).to_pylist()).encode("utf-8", "surrogatepass") + b"\n\n", np.uint8)
             c = code[raw]
             c = c[np.concatenate(([True], (c[1:] != OTHER) | (c[:-1] != OTHER)))]
@@ -160,11 +160,23 @@ class Restorer:
     def __init__(self, gains: np.ndarray, telling: Iterable[str] | None = None) -> None:
         self.gains = gains
         self.telling = None if telling is None else frozenset(telling)
-        self.units = functools.lru_cache(maxsize=REMEMBERED)(self._units)
-
-    def _units(self, token: str) -> tuple[str, ...]:
-        found = {u for word in self._token(token) for u in units(word)}
-        return tuple(found if self.telling is None else found & self.telling)
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.held = 0
+
+    def units(self, token: str) -> tuple[str, ...]:
+        """The units of a token; very long tokens are not remembered."""
+        kept = self.known.get(token)
+        if kept is None:
+            found = {u for word in self._token(token) for u in units(word)}
+            kept = tuple(found if self.telling is None else found & self.telling)
+            weight = 200 + len(token) + 80 * len(kept)
+            if weight < REMEMBERED // 1000:
+                if self.held + weight > REMEMBERED:
+                    self.known.clear()
+                    self.held = 0
+                self.known[token] = kept
+                self.held += weight
+        return kept
 
     def _token(self, token: str) -> tuple[str, ...]:
         core = token.strip(_EDGES)
@@ -210,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, gains: np.ndarray, id_col: str = "
     chosen = docs.join(F.broadcast(known), docs[id_col] == known["__id"]).select(F.col("__toxic").alias("toxic"), clean_text(F.col(text_col)).alias("text"))
 
     def restored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         restorer = Restorer(gains)
         for b in small_batches(batches, 64):
             words = [sorted(restorer.words(t)) for t in b.column(1).to_pylist()]
@@ -227,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, gains: np.ndarray, id_col: str = "
     lexicon = {r["word"]: r["odds"] for r in telling.orderBy(F.desc("sigmas"), "word").limit(WORDS).collect()}
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         restorer = Restorer(gains, lexicon)
         for b in small_batches(batches, 64):
             columns = list(zip(*(features(restorer.words(t), lexicon) for t in b.column(1).to_pylist()), strict=True))
@@ -258,6 +272,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _scorer(model: Model, text_at: int, kept):  # noqa: ANN001, ANN202
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         restorer = Restorer(model.gains, model.odds)
         for b in small_batches(batches):
             words = [restorer.words(t) for t in b.column(text_at).to_pylist()]

@@ -162,7 +162,10 @@ def test_elias_fano():
     for n in (0, 1, 2, 255, 256, 1000):
         values = list(itertools.accumulate(r.choice((0, 1, 50, 10_000)) for _ in range(n)))
         ef = tokenfile.EliasFano.unpack(tokenfile.EliasFano.of(values).pack())
-        assert ef.values().tolist() == values and [ef.select(i) for i in range(n)] == values
+        assert ef.window(0, n).tolist() == values and [ef.select(i) for i in range(n)] == values
+        for _ in range(20):
+            a, b = sorted((r.randrange(n + 1), r.randrange(n + 1)))
+            assert ef.window(a, b).tolist() == values[a:b]
 
 
 def test_byte_bpe(spark, docs, nothing, monkeypatch):
@@ -184,11 +187,38 @@ def test_weighted_sampling(docs, nothing):
         half = len(text) // 2
         by_id.setdefault((r.doc_id, len(text)), set()).add(hashlib.sha256((text[: len(text) - half] + nxt[:half]).encode()).hexdigest())
     assert len(got) == len(rows) and all(g.edited_sha256 in by_id[g.doc_id, g.n_chars] for g in got)
+    of = weighted_sampling.fingerprint
+    for i, g in enumerate(got):
+        text, nxt = rows[i].text or "", rows[(i + 1) % len(rows)].text or ""
+        if [(r.doc_id, len(r.text or "")) for r in rows].count((g.doc_id, g.n_chars)) == 1 and g.doc_id != rows[(i + 1) % len(rows)].doc_id:
+            new = weighted_sampling.edited(text, nxt)
+            assert (g.fingerprint, g.edited_fingerprint, g.near_edited, g.near_next) == (of(text), of(new), weighted_sampling.likeness(of(text), of(new)), weighted_sampling.likeness(of(text), of(nxt)))
     prints = {g.doc_id: g.fingerprint for g in got if g.doc_id is not None and g.doc_id < 3}
     assert prints[0] == prints[1] and weighted_sampling.likeness(prints[0], prints[2]) > 0.8
     assert weighted_sampling.fingerprints_with_edits(nothing).count() == 0
 
 
+def test_long_unlike_texts_share_no_samples():
+    a, b = (" ".join(f"{k}{i}" for i in range(20_000)) for k in "ab")
+    assert weighted_sampling.likeness(weighted_sampling.fingerprint(a), weighted_sampling.fingerprint(b)) < 0.02
+    # No size of a word or a text changes the rule; a memory that starts anew changes nothing.
+    unspaced = "".join(random.Random(5).choice("abcdefgh") for _ in range(90_000))
+    half = weighted_sampling.likeness(weighted_sampling.fingerprint(unspaced), weighted_sampling.fingerprint(unspaced[:60_000]))
+    assert 0.5 < half < 0.85 and weighted_sampling.Sampler().fingerprint(a) == weighted_sampling.fingerprint(a)
+
+
+def test_weights_count(monkeypatch):
+    """The collision rate is that of the generalised Jaccard similarity by brute force, also where words repeat."""
+    errors = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        a, b = ([w for i in range(80) for w in [f"t{seed}x{i}"] * rng.choice((0, 1, 1, 3, 9))] for _ in range(2))
+        x, y = weighted_sampling.term_weights(" ".join(a)), weighted_sampling.term_weights(" ".join(b))
+        exact = sum(min(x.get(t, 0), y.get(t, 0)) for t in x | y) / sum(max(x.get(t, 0), y.get(t, 0)) for t in x | y)
+        errors.append(weighted_sampling.likeness(weighted_sampling.fingerprint(" ".join(a)), weighted_sampling.fingerprint(" ".join(b))) - exact)
+    assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.1
+
+
 def test_collision_rate_is_jaccard():
     for share in (0.2, 0.5, 0.8):
         a, b = [], []
@@ -215,6 +245,20 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring_dedup.repeated_spans(nothing).count() == 0
 
 
+def test_chunks_of_texts_without_spaces(spark):
+    rng = random.Random(8)
+    sign = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    passage, tail = sign(600), "".join(rng.choice("abcdef0123456789+/") for _ in range(3000))
+    rows = [(0, sign(400) + passage + sign(300)), (1, sign(417) + passage + sign(200)), (2, tail), (3, "x" + tail[:1000] + "QQ" + tail[1000:]), (4, "la" * 2000), (5, sign(500))]
+    spans = [tuple(r)[:1] + tuple(r)[2:4] for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    covered = {d: sum(e - s for x, s, e in spans if x == d) for d in range(6)}
+    assert covered[1] > 0.7 * 600 and covered[3] > 0.8 * 3000 and not covered[0] and not covered[2] and not covered[5]
+    # An insertion moves no cut but those around it.
+    a, b = (t.encode() for t in (tail, tail[:1500] + "inserted" + tail[1500:]))
+    (_, x, *_), (_, y, *_) = substring_dedup.chunk_texts([a, b])
+    assert len(x) > 40 and len(set(x.tolist()) ^ {e if e < 1500 else e - 8 for e in y.tolist()}) <= 4
+
+
 def test_embeddings(spark):
     r = np.random.Generator(np.random.PCG64(4))
     centres = r.standard_normal((12, 24))
@@ -243,6 +287,55 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_recall(spark):
+    """Links and components of thousands of vectors a label, with a dense group, by brute force; columns that clash are not read."""
+    r = np.random.Generator(np.random.PCG64(6))
+    label = np.repeat([0, 1], 4000)
+    centres = r.standard_normal((1300, 32))
+    v = centres[r.integers(0, 1300, 8000)] + r.standard_normal((8000, 32)) * r.choice((0.1, 0.22, 0.3), (8000, 1))
+    v[:1500] = centres[0] + r.standard_normal((1500, 32)) * 0.1
+    rows = [(i, x, int(y), 1, 2, 3, 4) for i, (x, y) in enumerate(zip(v.astype(np.float32).tolist(), label, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int, node int, n int, v int")
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    group = np.arange(8000)
+    while True:
+        least = np.minimum(group, np.where(near, group[None, :], 8000).min(axis=1))
+        if (least == group).all():
+            break
+        group = least
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
+    found, true = np.array([got[i].n_links for i in range(8000)]), near.sum(axis=1)
+    assert (found <= true).all() and found.sum() / true.sum() > 0.97 and found[1500:].sum() / true[1500:].sum() > 0.9
+    assert np.mean([got[i].component_id == group[i] for i in range(8000)]) > 0.95
+
+
+def test_forest_depth_does_not_depend_on_the_sample():
+    """Whatever a node's size, rounds end in leaves below twice the leaf size, and every vector comes to one."""
+    r = np.random.Generator(np.random.PCG64(7))
+    unit = lambda n: (x := r.standard_normal((n, 16))) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    everyone, directions, rounds = unit(60_000), embeddings.Directions(), 0
+    at, sizes, copies = {1: np.arange(60_000)}, [], 0
+    while at:
+        later = {}
+        for root, members in at.items():
+            sample = members[r.random(len(members)) < embeddings.SAMPLE / len(members)]
+            kind, high, low = embeddings.fit(root, everyone[sample], len(members), 0.93, directions)
+            row, place = embeddings.descend(root, everyone[members], kind, high, low, directions)
+            assert set(row.tolist()) == set(range(len(members)))
+            for k in np.unique(place):
+                part = members[row[place == k]]
+                if kind[k] == embeddings.OPEN:
+                    later[embeddings._id(root, int(k))] = part
+                else:
+                    sizes.append(len(part))
+                    copies += len(part)
+        at, rounds = later, rounds + 1
+    assert max(sizes) < 2 * embeddings.LEAF and rounds >= 2 and copies < 4 * 60_000
+
+
 def test_secrets(spark, docs, nothing):
     key = hashlib.sha1(b"k").hexdigest()
     df = spark.createDataFrame([(1, f'api_key = "{key}" and more', "src/app"), (2, "internationalisation of establishments", "src/app"), (3, None, None), (4, "", "x"), (5, f'token = "{key}"\n' * 2000, "src/app")], "doc_id long, text string, source string")
@@ -257,9 +350,32 @@ def test_secrets(spark, docs, nothing):
     assert secrets.scan(nothing).count() == 0
     train = secrets.labelled_findings(spark, 6000)
     held = secrets.labelled_findings(spark, 7200).exceptAll(train)
-    forest = secrets.train_forest(train)
-    scored = held.select("secret", F.explode(secrets._scored(F.array(F.struct(F.lit(0).alias("start"), "candidate", "before", "after", "path")), forest, 0.5)).alias("r"))
-    assert scored.agg(F.avg((F.col("secret") == F.col("r.is_secret").cast("int")).cast("double"))).first()[0] > 0.95
+    voted = secrets.scored(held, secrets.train_forest(train))
+    assert voted.agg(F.avg((F.col("secret") == F.col("is_secret").cast("int")).cast("double"))).first()[0] > 0.95
+
+
+def test_secrets_of_all_shapes(spark):
+    """What is found and masked in texts that no training text resembles word for word, and what is left alone."""
+    key, b64 = hashlib.sha1(b"k").hexdigest(), "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5"
+    secret = {
+        1: ('password: "p@ss!w0rd#24"', "p@ss!w0rd#24"),
+        2: (f"AWS_SECRET_ACCESS_KEY={b64}\n", b64),
+        3: (f"see token={b64} here", b64),
+        4: ("jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P sent", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"),
+        5: ("mysql://root:x7Fq!29zLm@db.internal/shop", "root:x7Fq!29zLm"),
+        6: (f'é😀 api_key = "{key}" é', key),
+    }
+    clean = {7: "The password: please ask the librarian for it", 8: "internationalisation_of_establishments and more", 9: "order 4465758382889437 shipped", 10: f"fixed in commit {key} last week", 11: "", 12: None, 13: "a secret garden: nobody knows"}
+    rows = [(i, t, "src/app", "x", 1) for i, (t, _) in secret.items()] + [(i, t, "src/app", "x", 1) for i, t in clean.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, path string, r int")
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    for i, (text, value) in secret.items():
+        assert masked[i] == text.replace(value, secrets.MASK), (i, masked[i])
+    assert {i: masked[i] for i in clean} == clean
+    for r in secrets.scan(df).collect():
+        text = secret[r.doc_id][0] if r.doc_id in secret else clean[r.doc_id]
+        assert text[r.start : r.start + len(r.candidate)] == r.candidate and text[: r.start].endswith(r.before[-10:])
+    assert secrets.mask_secrets(df).columns == df.columns
 
 
 def test_toxicity(spark, docs, sf_dir):
