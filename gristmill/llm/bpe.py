@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, held, small_batches
+from gristmill.llm.common import clean_text, held, long_rows, small_batches
 
 #: A longer text goes to the library in parts of about this many characters.
 PART = 100_000
@@ -51,7 +51,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, rank_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -63,5 +63,5 @@ def decode(tokens: DataFrame, rank_file: str = "byte_bpe_50k.tiktoken") -> DataF
             text = pa.array([whole(ids or []) for ids in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return long_rows(tokens).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

@@ -88,6 +88,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.unionByName(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's default.
+ARROW_ROWS = 1000
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """df, whose rows hold texts: batches of Spark's default of ten thousand rows would be tens of megabytes on both sides. A session's own setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def clean_text(text: Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(text, F.lit(""))

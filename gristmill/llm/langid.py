@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, small_batches
+from gristmill.llm.common import clean_text, long_rows, small_batches
 
 #: About as many documents are learned from, chosen by a hash of their ids; of a language, at least so many or all that it has.
 TRAIN_DOCS, LEAST_DOCS = 20_000, 200
@@ -66,7 +66,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     Every language is learned, a rare one from LEAST_DOCS of its documents or all. Only the counts reach the driver: at most
     TRIPLES and the number of scripts for each language. An empty table gives a model without languages.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    docs = long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs, n = sorted(sizes), sum(sizes.values())
     if n > limit:
@@ -190,5 +190,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             named = [[dict(zip(("first_word", "end_word", "lang"), s, strict=True)) for s in found] for found in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(scores), pa.array(named, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    docs = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<first_word int, end_word int, lang string>>")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, discard, materialize, small_batches
+from gristmill.llm.common import clean_text, discard, long_rows, materialize, small_batches
 from gristmill.llm.tokens import encoder
 
 SEQUENCE = 2048
@@ -102,7 +102,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end:
             wide = [pa.array(x, pa.int64()) for x in ([part] * len(rows), rest, rank, before)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *wide, pa.array([words.kind.itemsize] * len(rows), pa.int64())], ["doc_id", "ids", "part", "rest", "rank", "full", "width"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    docs = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids binary, part long, rest long, rank long, full long, width long")
 
 

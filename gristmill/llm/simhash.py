@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import connected_components, materialize, small_batches
+from gristmill.llm.common import connected_components, long_rows, materialize, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RADIUS = 2
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash(t, words) for t in b.column(1).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:

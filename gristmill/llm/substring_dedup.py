@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, let_go, materialize, small_batches
+from gristmill.llm.common import clean_text, let_go, long_rows, materialize, small_batches
 
 #: One white space in so many is a cut, so a chunk has about as many words.
 WORDS_PER_CHUNK = 5
@@ -116,7 +116,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 [pa.array(np.array(digests, np.uint64).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), whole(starts), whole(chars), whole(words), pa.array(again)], names
             )
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("doc_key"), clean_text(F.col(text_col)).alias("text"))
+    docs = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("doc_key"), clean_text(F.col(text_col)).alias("text"))
     return docs.mapInArrow(run, "digest long, doc_id long, doc_key long, start int, chars int, words int, again boolean")
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, fresh_path, in_key_order, materialize, partitions_of, small_batches
+from gristmill.llm.common import clean_text, fresh_path, in_key_order, long_rows, materialize, partitions_of, small_batches
 from gristmill.llm.tokens import encoder
 
 MAGIC = b"GMEF0001"
@@ -129,7 +129,7 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     count as empty; very long ones are one document like others. A file is written beside its name and then moved, so a task that
     runs again leaves the same files.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    docs = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     tasks = max(partitions_of(docs, "text", PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = in_key_order(docs, tasks)
 

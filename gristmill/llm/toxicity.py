@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, let_go, small_batches
+from gristmill.llm.common import clean_text, let_go, long_rows, small_batches
 
 #: About as many labelled documents are learned from, chosen by a hash of their ids.
 TRAIN_DOCS = 20_000
@@ -83,7 +83,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
-    rows = docs.select(clean_text(F.col(text_col)).alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = long_rows(docs).select(clean_text(F.col(text_col)).alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(N**3)
     counts[rows["cell"].to_numpy(np.int64)] = rows["n"]
     return _table(counts)
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, gains: np.ndarray, id_col: str = "
     n = known.count()
     if n > limit:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * limit / n)).limit(limit * 5 // 4)
-    chosen = docs.join(F.broadcast(known), docs[id_col] == known["__id"]).select(F.col("__toxic").alias("toxic"), clean_text(F.col(text_col)).alias("text"))
+    chosen = long_rows(docs).join(F.broadcast(known), docs[id_col] == known["__id"]).select(F.col("__toxic").alias("toxic"), clean_text(F.col(text_col)).alias("text"))
 
     def restored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -266,7 +266,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score, predicted, words), one for each row of docs; words: the telling units of its restored words. Null texts count as empty."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    kept = long_rows(docs).select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     return kept.mapInArrow(_scorer(model, 1, lambda b: [b.column(0)]), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, words array<string>")
 
 
@@ -291,7 +291,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     import pyspark.sql.types as T
 
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
+    plain = long_rows(docs).toDF(*names)
     at = docs.columns.index(text_col)
     plain = plain.withColumn("__text", clean_text(F.col(names[at])))
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, held, in_key_order, materialize, partitions_of, small_batches
+from gristmill.llm.common import clean_text, held, in_key_order, long_rows, materialize, partitions_of, small_batches
 
 #: Samples in a fingerprint and hex digits for each.
 SAMPLES = 64
@@ -171,7 +171,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     those few rows are joined afterwards. Nulls of the id come first, equal ids are in the order of their texts; null texts count
     as empty; very long texts are read whole. After the last document comes the first, so a lone one follows itself.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    docs = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     tasks = max(partitions_of(docs, "text", PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [*NAMES, "part", "first_text", "last_text"]
     kinds = [*KINDS, pa.int64(), pa.string(), pa.string()]
