@@ -72,10 +72,12 @@ def month_name(c: Column | str) -> Column:
 
 
 def month_list(c: Column | str, longest: int = 32) -> Column:
-    """Months of a list in one text; what is no month is kept if it is short, repeats go, the order stays."""
+    """Months of a list in one text, by their whole or three-letter names; what is no month is kept, cut to longest characters; repeats go, the order stays."""
     parts = F.filter(F.transform(F.split(col(c), r"[,;/|]+"), F.trim), lambda x: x != "")
-    read = F.transform(parts, lambda x: F.coalesce(month_name(x), x))
-    return F.array_distinct(F.filter(read, lambda x: F.length(x) <= longest))
+    letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")
+    whole = lambda x: first_match((letters(x).isin(m.lower(), m[:3].lower(), *(("sept",) if m == "September" else ())), m) for m in MONTHS)
+    read = F.transform(F.filter(parts, lambda x: letters(x) != ""), lambda x: F.coalesce(whole(x), F.substring(x, 1, longest)))
+    return F.array_distinct(read)
 
 
 def calendar_order(months: Column | str) -> Column:
@@ -118,7 +120,7 @@ def smart_title(c: Column | str, acronyms: Sequence[str] = ("it", "mba", "phd",
 
 
 def is_slug(c: Column | str) -> Column:
-    return col(c).rlike("^[a-z0-9]+(-[a-z0-9]+)+$")
+    return col(c).rlike("^[a-z0-9]+(-[a-z0-9]+){2,}$")
 
 
 def unslug(c: Column | str) -> Column:

@@ -37,7 +37,7 @@ def segments(url: Column | str) -> Column:
 
 def coarse_prefix(url: Column | str, depth: int = 2) -> Column:
     """Scheme, host and the first segments."""
-    return F.concat(F.regexp_extract(col(url), r"^([a-zA-Z]+://[^/?#]+)", 1), F.lit("/"), F.array_join(F.slice(segments(url), 1, depth), "/"))
+    return F.array_join(F.concat(F.array(F.regexp_extract(col(url), r"^([a-zA-Z]+://[^/?#]+)", 1)), F.slice(segments(url), 1, depth)), "/")
 
 
 def without_params(url: Column | str, names: Sequence[str] = TRACKING) -> Column:
@@ -57,14 +57,20 @@ def same_site(a: Column | str, b: Column | str) -> Column:
     return registrable(host(a)) == registrable(host(b))
 
 
-def classify(url: Column | str, blocked: Sequence[str] = ("/news", "/events", "/blog", "/contact", "/login"), course: Sequence[str] = ("course", "degree", "program", "study"), landing: tuple[int, int] = (1, 2)) -> Column:
-    """blocked, landing, course or other, by rules in this order; landing: few segments, the last one a course word itself."""
+def classify(url: Column | str, blocked: Sequence[str] = ("/news", "/events", "/blog", "/contact", "/login"), course: Sequence[str] = ("course", "degree", "program", "study"), degree: Sequence[str] = ("bachelor", "master", "diploma", "certificate", "doctor", "phd", "mba", "associate", "honours", "graduate")) -> Column:
+    """blocked, landing, course or other, by rules in this order.
+
+    landing: a catalogue's word first, and no word of a degree in the last of two or three segments (four below study); or that word alone.
+    """
     low, parts = F.lower(path(url)), segments(url)
     any_of = lambda words: "|".join(words)
+    first, last = F.lower(F.try_element_at(parts, F.lit(1))), F.regexp_replace(F.lower(F.try_element_at(parts, F.lit(-1))), "[-_]", " ")
+    deep = F.size(parts).between(2, 3) | (F.size(parts) == 4) & (first == "study")
+    is_landing = first.rlike(f"^({any_of(course)})s?$") & ((F.size(parts) == 1) | deep & ~last.rlike(rf"\b({any_of(degree)})"))
     return first_match(
         [
             (low.rlike(f"({any_of(blocked)})(/|$)"), "blocked"),
-            (F.size(parts).between(*landing) & F.lower(F.try_element_at(parts, F.lit(-1))).rlike(f"^({any_of(course)})s?$"), "landing"),
+            (is_landing, "landing"),
             (low.rlike(any_of(course)), "course"),
         ],
         "other",
@@ -85,12 +91,19 @@ def host_slug(url: Column | str) -> Column:
 
 
 def year_key(url: Column | str) -> Column:
-    """The URL without a year in its path and without a handbook's prefix: variants of a page share it."""
-    return F.regexp_replace(F.regexp_replace(url_key(url), "/handbook", ""), "[-/_]20[0-9]{2}", "")
+    """The URL without a year in its path: variants of a page share it."""
+    return F.regexp_replace(url_key(url), "[-/_]20[0-9]{2}", "")
+
+
+HANDBOOK = r"(?i)/handbook/handbook-(20[0-9]{2})/"
 
 
 def latest_variants(df: DataFrame, url: str = "url", tie: str | None = None) -> DataFrame:
-    """One row for each page: the variant with the highest year; the live page before the handbook's; then by tie or URL."""
-    year = F.coalesce(F.regexp_extract(F.col(url), "20[0-9]{2}", 0).try_cast("int"), F.lit(0))
-    order = Window.partitionBy(year_key(url)).orderBy(year.desc(), F.lower(F.col(url)).contains("/handbook"), F.col(tie or url))
-    return df.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    """One row for each page. A live page beats a handbook's copy of it, and a newer copy an older one; a copy without a live page gets the live page's URL. Then the highest year in the path wins, then tie or the URL."""
+    name = f"`{url}`"
+    copied = F.regexp_extract(F.col(name), HANDBOOK, 1)
+    rows = df.withColumn("__live", F.regexp_replace(F.col(name), HANDBOOK, "/"))
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__live").orderBy(F.coalesce(copied.try_cast("int"), F.lit(9999)).desc(), F.col(tie or name)))).where("__rank = 1").withColumn(url, F.col("__live"))
+    year = F.coalesce(F.regexp_extract(F.col(name), "20[0-9]{2}", 0).try_cast("int"), F.lit(0))
+    order = Window.partitionBy(year_key(F.col(name))).orderBy(year.desc(), F.col(tie or name))
+    return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank", "__live")

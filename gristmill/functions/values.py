@@ -48,18 +48,34 @@ def weeks_to(c: Column | str, unit: str) -> Column:
     return F.bround(col(c) / F.lit({"month": 4.345, "year": 52.0}[unit]) * 2) / 2
 
 
+def weeks_as_term(c: Column | str) -> Column:
+    """struct(amount, term): weeks from 52 on as years to the nearest half, from 12 on as whole months of 4.348 weeks, fewer as they are."""
+    w = col(c).cast("double")
+    told = lambda amount, term: F.struct(amount.alias("amount"), F.lit(term).alias("term"))
+    return F.when(w >= 52, told(weeks_to(w, "year"), "Year")).when(w >= 12, told(F.bround(w / 4.348), "Month")).when(w.isNotNull(), told(w, "Week"))
+
+
 #: Parts of a year.
 TERM_YEARS = {"year": 1.0, "month": 12.0, "semester": 2.0, "trimester": 3.0, "week": 52.0}
 
 
 def to_years(amount: Column | str, term: Column | str) -> Column:
-    low = F.regexp_replace(F.lower(F.trim(col(term))), "s$", "")
-    return first_match(((low == unit, col(amount) / parts) for unit, parts in TERM_YEARS.items()), F.lit(None).cast("double"))
+    """The amount in years by the unit that the term names; a term that is null or names none counts as years."""
+    low = F.coalesce(F.lower(col(term)), F.lit(""))
+    return first_match(((low.contains(unit), col(amount) / parts) for unit, parts in TERM_YEARS.items() if unit != "year"), col(amount).cast("double"))
 
 
 def yearly_total(text: Column | str, per_unit: Column | str, low: float = 15_000, high: float = 500_000) -> Column:
-    """The largest number of units in the text times the price of one, if between the bounds."""
-    units = F.array_max(F.transform(F.regexp_extract_all(F.lower(col(text)), F.lit(r"([0-9]{2,3}) (?:credit )?(?:units|points)"), 1), lambda x: x.cast("double")))
+    """The largest likely number of units in the text times the price of one, if between the bounds.
+
+    4 to 60 units are likely. 48 to 480 credit points count as units of 8 points, or of as many as the text says a unit has.
+    """
+    low_text = F.lower(col(text))
+    numbers = lambda pattern: F.transform(F.regexp_extract_all(low_text, F.lit(pattern), 1), lambda x: x.cast("int"))
+    each = F.filter(numbers(r"\b([0-9]{1,2})\s*(?:credit\s*)?points?\s*(?:each|per\s+(?:unit|subject|course))"), lambda x: x.between(4, 24))
+    points = F.filter(numbers(r"\b([0-9]{2,3})\s*(?:credit\s*points?|cps?)\b"), lambda x: x.between(48, 480))
+    derived = F.transform(points, lambda x: F.floor(x / F.coalesce(F.get(each, F.lit(0)), F.lit(8))).cast("int"))
+    units = F.array_max(F.filter(F.concat(numbers(r"\b([0-9]{1,2})\s*(?:units|subjects)\b"), derived), lambda x: x.between(4, 60)))
     total = units * col(per_unit)
     return F.when(total.between(low, high), total)
 

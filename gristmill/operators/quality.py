@@ -130,11 +130,30 @@ def publish_reason(name: str = "course_name", level: str = "degree_level", score
     )
 
 
-def eligibility_reason(missing: str = "missing", warnings: str = "warnings") -> Column:
-    """struct(status, reason): ready, or review with what is missing and what was warned of."""
+def eligibility(df: DataFrame, least: int = 85) -> DataFrame:
+    """Rows of completeness() with blockers, warnings and struct verdict(status, reason).
+
+    Name, level and English alone block. A row without a blocker goes to review only if its completeness is below least; else it is
+    ready, and its reason ok. The reason lists what blocks, what else is missing and the warnings, each part only where it has any.
+    """
+    has = lambda c: ~is_blank(c) if c in df.columns else F.lit(False)
+    no_english = F.array_contains("missing", "english_test")
+    listed = lambda pairs: F.filter(F.array(*[F.when(test, F.lit(said) if isinstance(said, str) else said) for test, said in pairs]), lambda x: x.isNotNull())
+    blockers = listed([(F.length(F.trim(F.coalesce(F.col("course_name"), F.lit("")))) < 3, "course_name"), (~has("degree_level"), "degree_level"), (no_english, "english_test")])
+    low = F.col("completeness") < least
+    warnings = listed(
+        [
+            (~has("academic_level") & ~has("academic_score"), "missing academic requirement"),
+            (~has("category"), "missing category"),
+            (~has("study_mode"), "missing study_mode"),
+            (low, F.concat(F.lit("completeness "), F.col("completeness").cast("string"), F.lit(f"% < {least}%"))),
+        ]
+    )
+    rows = df.withColumn("blockers", blockers).withColumn("warnings", warnings)
     part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
-    reason = F.concat_ws(" | ", part("Missing: ", missing), part("Warnings: ", warnings))
-    return F.struct(F.when(reason == "", "ready").otherwise("review").alias("status"), F.when(reason != "", F.concat(F.lit("Publish blocked: "), reason)).alias("reason"))
+    told = F.concat_ws(" | ", part("Publish blocked: ", F.col("blockers")), part("Missing: ", F.array_except("missing", "blockers")), part("Warnings: ", F.col("warnings")))
+    review = (F.size("blockers") > 0) | low
+    return rows.withColumn("verdict", F.struct(F.when(review, "review").otherwise("ready").alias("status"), F.when(review, told).otherwise("ok").alias("reason")))
 
 
 def _issue(condition: Column, severity: str, code: str) -> Column:
@@ -202,12 +221,21 @@ def without_unproven(df: DataFrame, evidence: DataFrame, key: str, fields: Seque
     return joined.select(*[F.when(F.array_contains("__proven", c), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
 
 
-def extraction_gate(evidence: DataFrame, key: str, fields: Sequence[str] = ("international_fee", "ielts_overall", "duration", "intake_months", "course_name", "study_mode"), least: float = 0.7, coverage: float = 0.9, classes: Sequence[str] = ("category", "sub_category")) -> DataFrame:
-    """Rows (key, decision): skip, classification_only or full, by the share of fields with evidence of a value sure enough."""
-    has = evidence.where(~is_blank("value")).groupBy(key, "field_key").agg(F.max("confidence").alias("best"))
-    per = has.groupBy(key).agg(F.count_if(F.col("field_key").isin(list(fields)) & (F.col("best") >= least)).alias("n"), F.count_if(F.col("field_key").isin(list(classes))).alias("c"))
-    enough = F.col("n") / len(fields) >= coverage
-    return per.select(key, F.when(enough & (F.col("c") == len(classes)), "skip").when(enough, "classification_only").otherwise("full").alias("decision"))
+def extraction_gate(courses: DataFrame, evidence: DataFrame, key: str, fields: Sequence[str] = ("international_fee", "ielts_overall", "duration", "intake_months", "course_name", "study_mode"), least: float = 0.7, coverage: float = 0.9, classes: Sequence[str] = ("category", "sub_category")) -> DataFrame:
+    """Rows (key, decision), one for each course: skip, classification_only or full.
+
+    A field counts if the course has a value for it and its best evidence is sure enough; a course without evidence is full. With
+    enough fields, what decides is whether the course has its classes.
+    """
+    best = evidence.where(F.col("field_key").isin(list(fields))).groupBy(key).agg(*[F.max(F.when(F.col("field_key") == f, F.col("confidence"))).alias(f"__{i}") for i, f in enumerate(fields)])
+    has = dict(filled(courses, [*fields, *classes]))
+    counted = courses.select(key, *[has[f].alias(f"__h{i}") for i, f in enumerate(fields)], *[has[c].alias(f"__c{i}") for i, c in enumerate(classes)]).join(best, key, "left")
+    n = sum((F.when(F.col(f"__h{i}") & (F.col(f"__{i}") >= least), 1).otherwise(0) for i in range(len(fields))), F.lit(0))
+    classed = F.lit(True)
+    for i in range(len(classes)):
+        classed = classed & F.col(f"__c{i}")
+    enough = n / len(fields) >= coverage
+    return counted.select(key, F.when(enough & classed, "skip").when(enough, "classification_only").otherwise("full").alias("decision"))
 
 
 def staging_gate(central_fee: Column, hosts_without_place: Sequence[str] = (), endings: str = r"(?i)\.(pdf|docx?|jpg|png)$") -> Column:

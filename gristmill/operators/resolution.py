@@ -177,30 +177,44 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str, least: float = 80.0, high: float = 85.0) -> DataFrame:
     """Rows (left_id, right_id, quality): by equal normalised names, else by the likeliest name among those that share one of their three rarest words.
 
-    Only names that share a rare word are compared, so no cross join arises; a name that has no rare word in common with any is unmatched.
+    Distinct names are compared, each standing for the right row with the smallest id, so that a name that very many rows have costs
+    no more than another. Only names that share a rare word are compared, so no cross join arises; a name that has no rare word
+    in common with any, or no word at all, is unmatched.
     """
-    a = left.select(F.col(left_id).alias("l"), normalize(left_name).alias("n"))
-    b = right.select(F.col(right_id).alias("r"), normalize(right_name).alias("n"))
-    exact = first_per(a.join(b, "n"), ["l"], [F.asc("r")]).select("l", "r", F.lit("exact").alias("quality"), F.lit(100.0).alias("score"))
-    rest = a.join(exact, "l", "left_anti")
+    a = left.select(F.col(left_id).alias("l"), normalize(left_name).alias("n")).where("n <> ''")
+    b = right.select(F.col(right_id).alias("r"), normalize(right_name).alias("n")).where("n <> ''").groupBy("n").agg(F.min("r").alias("r"))
+    exact = a.join(b, "n").select("l", "r", F.lit("exact").alias("quality"), F.lit(100.0).alias("score"))
+    rest = a.join(b, "n", "left_anti")
     words = b.select("r", F.col("n").alias("n2"), F.explode(F.array_distinct(tokens("n"))).alias("w"))
     common = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rare = ranked(words.join(common, "w"), ["r"], [F.asc("df"), F.asc("w")]).where("rn <= 3").select("r", "n2", "w")
-    pairs = rest.select("l", "n", F.explode(tokens("n")).alias("w")).join(rare, "w").select("l", "n", "r", "n2").distinct()
-    scored = pairs.withColumn("score", token_sort_ratio("n", "n2")).where(F.col("score") >= least)
-    best = first_per(scored, ["l"], [F.desc("score"), F.asc("r")]).select("l", "r", F.when(F.col("score") >= high, "high").otherwise("medium").alias("quality"), "score")
-    return exact.unionByName(best).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "quality", "score")
+    pairs = rest.select("n").distinct().select("n", F.explode(tokens("n")).alias("w")).join(rare, "w").select("n", "r", "n2").distinct()
+    # The ratio is at least so high only if the shorter name is so long: 2 * shorter / (shorter + longer).
+    shorter, longer = F.least(F.length("n"), F.length("n2")), F.greatest(F.length("n"), F.length("n2"))
+    scored = pairs.where(200 * shorter >= least * (shorter + longer)).withColumn("score", token_sort_ratio("n", "n2")).where(F.col("score") >= least)
+    best = first_per(scored, ["n"], [F.desc("score"), F.asc("r")]).select("n", "r", F.when(F.col("score") >= high, "high").otherwise("medium").alias("quality"), "score")
+    return exact.unionByName(rest.join(best, "n").drop("n")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "quality", "score")
 
 
 def token_overlap_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, shared: int = 2, coverage: float = 0.5, most: int = 25) -> DataFrame:
     """Rows (left_id, right_id, shared): of the right rows with at least so many words in common and so much of either covered, the one with the most, then of the nearest size.
 
-    Words are counted by a join on the word, grouped before rows are compared; right rows of more than most words are passed over.
+    The smaller of two sets has coverage of its words in common at least, and one of those is among its rarest. So rows meet
+    under the rare words of the smaller one, never under all, and each pair that meets is counted by its sets. Right rows of more
+    than most words are passed over.
     """
-    a = left.select(F.col(left_id).alias("l"), tokens(left_text).alias("lt"))
-    b = right.select(F.col(right_id).alias("r"), tokens(right_text).alias("rt")).where(F.size("rt") <= most)
-    pairs = a.select("l", F.size("lt").alias("ln"), F.explode("lt").alias("w")).join(b.select("r", F.size("rt").alias("rn"), F.explode("rt").alias("w")), "w")
-    counted = pairs.groupBy("l", "r", "ln", "rn").agg(F.count(F.lit(1)).alias("shared"))
+    a = left.select(F.col(left_id).alias("id"), F.array_distinct(tokens(left_text)).alias("t"), F.lit(True).alias("is_left"))
+    b = right.select(F.col(right_id).alias("id"), F.array_distinct(tokens(right_text)).alias("t"), F.lit(False).alias("is_left")).where(F.size("t") <= most)
+    words = a.unionByName(b).select("id", "is_left", F.explode("t").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rows = words.join(often, "w").groupBy("id", "is_left").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")).select("id", "is_left", F.col("s.w").alias("t")).where(F.size("t") >= shared)
+    n = F.size("t")
+    least = F.greatest(F.lit(shared), F.ceil(n * F.lit(coverage)).cast("int"))
+    rare, wide = F.explode(F.slice("t", F.lit(1), n - least + 1)), F.explode(F.slice("t", F.lit(1), n - shared + 1))
+    ls, rs = (rows.where("is_left").select(F.col("id").alias("l"), F.col("t").alias("lt")), rows.where("NOT is_left").select(F.col("id").alias("r"), F.col("t").alias("rt")))
+    of = lambda side, words: rows.where("is_left" if side == "l" else "NOT is_left").select(F.col("id").alias(side), n.alias(f"{side}n"), words.alias("w"))
+    met = of("l", rare).join(of("r", wide), "w").where("ln <= rn").unionByName(of("l", wide).join(of("r", rare), "w").where("ln > rn"))
+    counted = met.select("l", "r").distinct().join(ls, "l").join(rs, "r").select("l", "r", F.size("lt").alias("ln"), F.size("rt").alias("rn"), F.size(F.array_intersect("lt", "rt")).cast("long").alias("shared"))
     good = counted.where((F.col("shared") >= shared) & (F.greatest(F.col("shared") / F.col("ln"), F.col("shared") / F.col("rn")) >= coverage))
     best = first_per(good, ["l"], [F.desc("shared"), F.abs(F.col("ln") - F.col("rn")).asc(), F.asc("r")])
     return best.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "shared")

@@ -74,11 +74,13 @@ def qa_04_completeness(t: Tables) -> DataFrame:
     return q.completeness(_staged(t)).select("id", "completeness", F.size("missing").alias("lacking"))
 
 
-@plan(f"SELECT p_partkey AS id, 'review' AS status, true AS told FROM part")
+@plan(f"""WITH r AS (SELECT p_partkey AS id, list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'course_name' END, CASE WHEN p_partkey % 5 = 0 THEN 'degree_level' END, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 8 <> 1 THEN 'english_test' END], lambda x: x IS NOT NULL) AS b,
+round_even({_SLOTS} / 13 * 100, 0) AS c FROM part) SELECT id, CASE WHEN len(b) > 0 OR c < 75 THEN 'review' ELSE 'ready' END AS status, array_to_string(b, ', ') AS blockers,
+CASE WHEN len(b) > 0 THEN 'Publish blocked: ' || array_to_string(b, ', ') WHEN c < 75 THEN 'review' ELSE 'ok' END AS told FROM r""")
 def qa_05_eligibility(t: Tables) -> DataFrame:
-    reason = q.eligibility_reason("missing", "warnings")
-    rows = q.completeness(_staged(t)).withColumn("warnings", F.array().cast("array<string>")).select("id", reason.alias("r"))
-    return rows.select("id", "r.status", F.col("r.reason").startswith("Publish blocked: Missing: ").alias("told"))
+    rows = q.eligibility(q.completeness(_staged(t)), 75).select("id", "verdict.status", F.array_join("blockers", ", ").alias("blockers"), "verdict.reason")
+    told = F.when(F.col("reason").startswith("Publish blocked: "), F.split_part("reason", F.lit(" | "), F.lit(1))).when(F.col("status") == "review", "review").otherwise(F.col("reason"))
+    return rows.select("id", "status", "blockers", told.alias("told"))
 
 
 @plan(f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'name_too_short' WHEN p_partkey % 5 = 0 THEN 'missing_degree_level' WHEN p_partkey % 4 = 0 AND p_partkey % 8 <> 1 THEN 'missing_english'
@@ -179,11 +181,14 @@ def qa_22_proof(t: Tables) -> DataFrame:
     return q.without_unproven(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), evidence, "c_custkey", ["c_mktsegment"])
 
 
-@plan("""WITH b AS (SELECT o_custkey, o_orderpriority AS f, max(o_totalprice) AS m FROM orders GROUP BY ALL), g AS (SELECT o_custkey, count(*) FILTER (WHERE f <> '5-LOW' AND m >= 200000) AS n, count(*) FILTER (WHERE f = '5-LOW') AS c FROM b GROUP BY 1)
-SELECT o_custkey, CASE WHEN n / 4 >= 0.9 AND c = 1 THEN 'skip' WHEN n / 4 >= 0.9 THEN 'classification_only' ELSE 'full' END AS decision FROM g""")
+@plan("""WITH e AS (SELECT o_custkey AS k, left(o_orderpriority, 1) AS f, max(o_totalprice) AS m FROM orders GROUP BY ALL),
+g AS (SELECT c_custkey, c_custkey % 3 <> 0 AS classed, count(*) FILTER (WHERE m >= 100000 AND (f = '1' AND c_custkey % 7 <> 0 OR f = '2' AND c_custkey % 11 <> 0 OR f = '3' OR f = '4')) AS n FROM customer LEFT JOIN e ON k = c_custkey GROUP BY ALL)
+SELECT c_custkey, CASE WHEN n / 4 >= 0.75 AND classed THEN 'skip' WHEN n / 4 >= 0.75 THEN 'classification_only' ELSE 'full' END AS decision FROM g""")
 def qa_23_gate(t: Tables) -> DataFrame:
-    evidence = t.orders.select("o_custkey", F.col("o_orderpriority").alias("field_key"), F.lit("v").alias("value"), F.col("o_totalprice").alias("confidence"))
-    return q.extraction_gate(evidence, "o_custkey", ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), 200_000.0, 0.9, ("5-LOW",))
+    k = F.col("c_custkey")
+    courses = t.customer.select("c_custkey", F.when(k % 7 != 0, "v").alias("f1"), F.when(k % 11 != 0, "v").alias("f2"), F.lit("v").alias("f3"), F.lit(4.0).alias("f4"), F.when(k % 3 != 0, "c").otherwise(" ").alias("category"))
+    evidence = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("f"), F.left("o_orderpriority", F.lit(1))).alias("field_key"), F.col("o_totalprice").alias("confidence"))
+    return q.extraction_gate(courses, evidence, "c_custkey", ("f1", "f2", "f3", "f4"), 100_000.0, 0.75, ("category",))
 
 
 @plan("""SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'non_page_url' WHEN p_partkey % 13 = 0 THEN 'online_slug' WHEN p_type = 'SMALL' THEN 'no_degree_word' WHEN p_partkey % 11 = 0 THEN 'domestic_only' WHEN p_type = 'LARGE' THEN 'online_only' WHEN p_partkey % 3 = 0 THEN 'no_international_fee' END AS reason FROM part""")

@@ -57,7 +57,7 @@ def str_09_title(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.smart_title(F.concat("p_name", F.lit(" of it"))).alias("s"))
 
 
-@plan("SELECT p_partkey, replace(p_name, ' ', '-') AS slug, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+)+$') AS is_slug FROM part")
+@plan("SELECT p_partkey, replace(p_name, ' ', '-') AS slug, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+){2,}$') AS is_slug FROM part")
 def str_10_slug(t: Tables) -> DataFrame:
     slug = text.to_slug("p_name")
     return t.part.select("p_partkey", slug.alias("slug"), text.is_slug(slug).alias("is_slug"))
@@ -114,7 +114,7 @@ def url_01_strip(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.url_key(F.concat("url", F.lit("/#top"))).alias("u"))
 
 
-@plan("""SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/' || array_to_string(list_slice(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> ''), 1, 2), '/') AS p FROM pages""")
+@plan("""SELECT page_id, rtrim(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/' || array_to_string(list_slice(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> ''), 1, 2), '/'), '/') AS p FROM pages""")
 def url_02_prefix(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.coarse_prefix("url").alias("p"))
 
@@ -172,20 +172,21 @@ def dat_04_iso(t: Tables) -> DataFrame:
     return t.events.select("event_id", v.iso_z("ts").alias("iso"))
 
 
-@plan("SELECT p_partkey, CAST(round_even(p_size / 52.0 * 2, 0) / 2 AS DOUBLE) AS years FROM part")
+@plan("""SELECT p_partkey, CAST(CASE WHEN p_size * 3 >= 52 THEN round_even(p_size * 3 / 52.0 * 2, 0) / 2 WHEN p_size * 3 >= 12 THEN round_even(p_size * 3 / 4.348, 0) ELSE p_size * 3 END AS DOUBLE) AS amount,
+CASE WHEN p_size * 3 >= 52 THEN 'Year' WHEN p_size * 3 >= 12 THEN 'Month' ELSE 'Week' END AS term FROM part""")
 def mat_01_nearest_half(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", v.weeks_to(F.col("p_size").cast("double"), "year").alias("years"))
+    return t.part.select("p_partkey", v.weeks_as_term(F.col("p_size") * 3).alias("r")).select("p_partkey", "r.*")
 
 
-@plan("SELECT p_partkey, round(p_size / CASE p_type WHEN 'SMALL' THEN 12.0 WHEN 'LARGE' THEN 52.0 ELSE 1.0 END, 6) AS years FROM part")
+@plan("SELECT p_partkey, round(p_size / CASE p_type WHEN 'SMALL' THEN 12.0 WHEN 'LARGE' THEN 52.0 WHEN 'MEDIUM' THEN 2.0 ELSE 1.0 END, 6) AS years FROM part")
 def mat_02_years(t: Tables) -> DataFrame:
-    term = F.when(F.col("p_type") == "SMALL", "Months").when(F.col("p_type") == "LARGE", "week").otherwise("Year")
+    term = F.when(F.col("p_type") == "SMALL", "Months").when(F.col("p_type") == "LARGE", "week").when(F.col("p_type") == "MEDIUM", "2 Semesters")
     return t.part.select("p_partkey", F.round(v.to_years(F.col("p_size").cast("double"), term), 6).alias("years"))
 
 
-@plan("SELECT p_partkey, CASE WHEN (p_size + 10) * p_retailprice BETWEEN 15000 AND 500000 THEN round((p_size + 10) * p_retailprice, 2) END AS total FROM part")
+@plan("SELECT p_partkey, CASE WHEN p_size * 8 BETWEEN 48 AND 480 AND p_size * p_retailprice BETWEEN 15000 AND 500000 THEN round(p_size * p_retailprice, 2) END AS total FROM part")
 def mat_03_units(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("takes "), (F.col("p_size") + 10).cast("string"), F.lit(" credit points"))
+    said = F.concat(F.lit("3 units a term, "), (F.col("p_size") * 8).cast("string"), F.lit(" credit points in all"))
     return t.part.select("p_partkey", F.round(v.yearly_total(said, "p_retailprice"), 2).alias("total"))
 
 

@@ -15,6 +15,8 @@ def one(spark, *columns):
 def test_numbers_and_months(spark):
     assert one(spark, text.parse_number(F.lit("A$-32,000.5")), text.parse_number(F.lit("none")), text.parse_number(F.lit("-7"), False), text.parse_whole(F.lit("x1y2"))) == (-32000.5, None, 7.0, 12)
     assert one(spark, text.month_list(F.lit("Feb; Jul/xyz, february")))[0] == ["February", "July", "xyz"]
+    assert one(spark, text.month_list(F.lit("Marketing; sept./" + "q" * 40)))[0] == ["Marketing", "September", "q" * 32]
+    assert one(spark, text.is_slug(F.lit("part-time")), text.is_slug(F.lit("master-of-arts"))) == (False, True)
     assert one(spark, text.calendar_order(F.array(F.lit("July"), F.lit("x"), F.lit("February"))))[0] == ["February", "July", "x"]
 
 
@@ -27,14 +29,22 @@ def test_names(spark):
 
 def test_urls(spark):
     assert one(spark, urls.without_fragment(F.lit("https://a.org/x/#y")), urls.without_fragment(F.lit("https://a.org/")), urls.without_params(F.lit("https://a.org/x?utm_source=1"))) == ("https://a.org/x", "https://a.org/", "https://a.org/x")
-    assert one(spark, urls.classify(F.lit("https://a.org/courses")), urls.classify(F.lit("https://a.org/study/courses/law")), urls.classify(F.lit("https://a.org/news/x")), urls.classify(F.lit("https://a.org"))) == ("landing", "course", "blocked", "other")
-    rows_ = spark.createDataFrame([("https://a.org/c-2023/x",), ("https://a.org/c-2024/x",), ("https://a.org/handbook/c/x",)], "url string")
-    assert [r.url for r in urls.latest_variants(rows_).collect()] == ["https://a.org/c-2024/x"]
+    assert one(spark, urls.classify(F.lit("https://a.org/courses")), urls.classify(F.lit("https://a.org/study/courses/law")), urls.classify(F.lit("https://a.org/news/x")), urls.classify(F.lit("https://a.org"))) == ("landing", "landing", "blocked", "other")
+    kinds = {"/courses/design": "landing", "/courses/bachelor-of-design": "course", "/study/areas/arts/dance": "landing", "/courses/a/b/c": "course", "/x/courses/design": "course"}
+    assert {u: one(spark, urls.classify(F.lit(f"https://a.org{u}")))[0] for u in kinds} == kinds
+    assert one(spark, urls.coarse_prefix(F.lit("https://a.org")), urls.coarse_prefix(F.lit("https://a.org/x/y/z"))) == ("https://a.org", "https://a.org/x/y")
+    rows_ = ["/c-2023/x", "/c-2024/x", "/handbook/handbook-2025/course/y", "/course/y", "/handbook/handbook-2021/course/z", "/handbook/handbook-2022/course/z", "/plain"]
+    got = urls.latest_variants(spark.createDataFrame([(i, f"https://a.org{u}") for i, u in enumerate(rows_)], "id int, url string")).collect()
+    assert sorted((r.id, r.url[13:]) for r in got) == [(1, "/c-2024/x"), (3, "/course/y"), (5, "/course/z"), (6, "/plain")]
 
 
 def test_values(spark):
     assert one(spark, values.amount_label(F.lit(3.0), F.lit("year")), values.amount_label(F.lit(1.5), F.lit("year"))) == ("3 year", "1.5 year")
-    assert one(spark, values.to_years(F.lit(18.0), F.lit("Months")), values.to_years(F.lit(1.0), F.lit("day"))) == (1.5, None)
+    assert one(spark, values.to_years(F.lit(18.0), F.lit("Months")), values.to_years(F.lit(1.0), F.lit("day")), values.to_years(F.lit(2.0), F.lit(None).cast("string")), values.to_years(F.lit(3.0), F.lit("per trimester"))) == (1.5, 1.0, 2.0, 1.0)
+    assert [tuple(one(spark, values.weeks_as_term(F.lit(w)))[0]) for w in (10, 26, 104, 80)] == [(10.0, "Week"), (6.0, "Month"), (2.0, "Year"), (1.5, "Year")]
+    total = lambda said, price: one(spark, values.yearly_total(F.lit(said), F.lit(price)))[0]
+    assert total("192 credit points", 3000.0) == 72000.0 and total("144 credit points, 12 credit points each", 2000.0) == 24000.0
+    assert total("4 units per trimester, 24 units in all", 1500.0) == 36000.0 and total("90 units", 1500.0) is None and total("24 units", 100.0) is None
     assert one(spark, values.is_empty_value(F.lit(0)), values.is_empty_value(F.lit("")), values.is_empty_value(F.lit("x"))) == (True, True, False)
     assert values.deep_merge({"a": {"b": 1, "c": 2}, "d": [1]}, {"a": {"b": 3}, "d": [2]}) == {"a": {"b": 3, "c": 2}, "d": [2]}
     assert one(spark, values.spread_json(F.lit('{"a": 1, "b": 2}'), {"b": F.lit("own")}))[0] == {"a": "1", "b": "own"}
@@ -142,3 +152,28 @@ def test_breaker_batch(spark):
     base = dt.datetime(2024, 1, 1)
     d = spark.createDataFrame([(1, base + dt.timedelta(seconds=s)) for s in (0, 30, 60, 61, 200)], "k int, ts timestamp")
     assert [r.recent for r in rows.rolling_count(d, ["k"], "ts", 60, 3).orderBy("ts").collect()] == [1, 2, 3, 3, 1]
+
+
+def test_eligibility(spark):
+    """Name, level and English block; a complete row is ready; a thin one without a blocker goes to review."""
+    full = {"course_name": "Master of Arts", "degree_level": "Master", "ielts_overall": 6.5, "category": "Arts", "study_mode": "On campus", "academic_level": "Bachelor"}
+    cases = [({}, 90, []), ({"course_name": "Ab"}, 90, []), ({"degree_level": " "}, 90, ["degree_level"]), ({"ielts_overall": None}, 90, ["english_test"]), ({"category": None}, 90, ["category"]), ({}, 50, ["duration"])]
+    schema = "course_name string, degree_level string, ielts_overall double, category string, study_mode string, academic_level string, completeness int, missing array<string>"
+    df = spark.createDataFrame([(*{**full, **changed}.values(), score, missing) for changed, score, missing in cases], schema).coalesce(1)
+    got = [tuple(r.verdict) for r in quality.eligibility(df).select("verdict").collect()]
+    assert got == [
+        ("ready", "ok"),
+        ("review", "Publish blocked: course_name"),
+        ("review", "Publish blocked: degree_level"),
+        ("review", "Publish blocked: english_test"),
+        ("ready", "ok"),
+        ("review", "Missing: duration | Warnings: completeness 50% < 85%"),
+    ]
+
+
+def test_extraction_gate(spark):
+    """A course without evidence is full; a sure value that the course lacks does not count; classes come from the course."""
+    courses = spark.createDataFrame([(1, "x", 5.0, "c"), (2, "x", 5.0, None), (3, None, 5.0, "c"), (4, "x", 5.0, "c")], "id int, a string, b double, k string")
+    evidence = spark.createDataFrame([(i, f, 0.9) for i in (1, 2, 3) for f in "ab"] + [(1, "a", 0.1)], "id int, field_key string, confidence double")
+    got = {r.id: r.decision for r in quality.extraction_gate(courses, evidence, "id", ("a", "b"), classes=("k",)).collect()}
+    assert got == {1: "skip", 2: "classification_only", 3: "full", 4: "full"}
