@@ -28,7 +28,7 @@ SEED = 20_240_229
 #: A word counts as its stretches of so many characters, or whole if it has no more, so that texts without spaces have many terms too.
 STRETCH = 12
 #: Terms whose variables a worker remembers, a kilobyte each; the memory starts anew when it is full.
-REMEMBERED = 65_536
+REMEMBERED = 131_072
 #: Bytes of text that a task goes through, about.
 PARTITION_BYTES = 64 << 20
 
@@ -44,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def variables(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each term's hash and place: a gamma variable, a uniform shift and the logarithm of a second gamma variable."""
-    counter = _mixed(terms[:, None] + _PLACES[None, :])
+    counter = terms[:, None] + _PLACES[None, :]
     uniform = []
     for k in range(3):
         drawn = _mixed(counter + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64))
