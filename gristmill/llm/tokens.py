@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 from gristmill.llm.common import held
 
-#: Pieces remembered per worker, some 110 MB; the memory starts anew when it is full.
-REMEMBERED = 500_000
+#: Pieces remembered per worker, some 200 MB; the memory starts anew when it is full.
+REMEMBERED = 900_000
 #: New pieces that one call joins.
 JOINED = 400
 #: Marks of ASCII.
