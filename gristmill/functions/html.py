@@ -1,21 +1,32 @@
-"""Pages to typed fields. A page is parsed once per row, in Arrow batches; what a parse finds is decided by column expressions."""
+"""Pages to typed fields. A page is parsed and its parts are searched once per row, in Arrow batches; what a found text means is told by column expressions."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.functions.domain import currency, degree_level, eligibility, fee_term, matches, registration_code
-from gristmill.functions.text import MONTHS, col, first_match
+from gristmill.functions import fields
+from gristmill.functions.domain import FEE_TERMS, currency, degree_level, eligibility, fee_term, matches, registration_code
+from gristmill.functions.text import col
 
 _SILENT = {"script", "style", "noscript", "template"}
-_PARTS = "text string, title string, h1 string, meta string, paragraphs array<string>, labels array<struct<label: string, value: string>>, rows array<array<string>>, links array<string>"
+_READ = {"title", "p", "dt", "dd", "strong", "th", "td", "h1", "h2", "h3", "h4", "div", "span", "li"}
+_HEADINGS = {"h1", "h2", "h3", "h4"}
+_TEXTS = pa.list_(pa.string())
+_ROWS = pa.list_(_TEXTS)
+_PARTS = {
+    "text": ("string", pa.string()), "title": ("string", pa.string()), "h1": ("string", pa.string()), "meta": ("string", pa.string()), "paragraphs": ("array<string>", _TEXTS),
+    "labels": ("array<struct<label: string, value: string>>", pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())]))), "rows": ("array<array<string>>", _ROWS), "links": ("array<string>", _TEXTS),
+}
+_FOUND = pa.list_(pa.struct([("field_key", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("method", pa.string())]))
+_FEES = pa.list_(pa.struct([("program", pa.string()), ("amount", pa.float64()), ("kind", pa.string()), ("said", pa.string()), ("head", pa.string())]))
 
 
 class _Page(HTMLParser):
@@ -23,23 +34,33 @@ class _Page(HTMLParser):
 
     def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.url, self.silent, self.text = url, 0, []
+        self.url, self.silent, self.main, self.text = url, 0, 0, []
         self.open: dict[str, list[str]] = {}
-        self.title = self.h1 = self.meta = ""
-        self.paragraphs: list[str] = []
-        self.labels: list[dict[str, str]] = []
-        self.rows: list[list[str]] = []
+        self.title = self.h1 = self.meta = self.heading = ""
+        self.paragraphs: list[tuple[str, str, bool]] = []
+        self.labels: list[tuple[str, str, str]] = []
+        self.tables: list[list[list[str]]] = [[]]
         self.links: list[str] = []
-        self.label = ""
+        self.modes: list[tuple[str, str]] = []
+        #: A label that waits for its value: the element's kind and the words.
+        self.label: tuple[str, str] | None = None
+        self.mode_span = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if tag in self.open and tag not in ("div", "span"):
+            self.handle_endtag(tag)
         if tag in _SILENT:
             self.silent += 1
-        elif tag in ("title", "h1", "p", "dt", "dd", "strong", "th", "td"):
+        elif tag in _READ:
             self.open[tag] = []
+        elif tag in ("main", "article"):
+            self.main += 1
+        elif tag == "table":
+            self.tables.append([])
         elif tag == "tr":
-            self.rows.append([])
+            self.tables[-1].append([])
+            self.label = None
         elif tag == "meta" and (a.get("name") or a.get("property")) in ("description", "og:description"):
             self.meta = self.meta or (a.get("content") or "").strip()
         elif tag == "a" and a.get("href"):
@@ -49,10 +70,21 @@ class _Page(HTMLParser):
                     self.links.append(full)
             except ValueError:
                 pass
+        if tag == "span":
+            self.mode_span = bool(re.search(r"study-?mode|delivery", a.get("class") or ""))
+        for name, said in attrs:
+            if said and name in ("data-study-mode", "data-mode", "data-delivery"):
+                self.modes.append(("data", said))
+            elif said and name in ("data-location", "data-campus"):
+                self.labels.append(("data", "location", said))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag in ("main", "article"):
+            self.main = max(0, self.main - 1)
+        elif tag == "table":
+            self.tables.append([])
         if tag not in self.open:
             return
         said = " ".join("".join(self.open.pop(tag)).split())
@@ -61,16 +93,19 @@ class _Page(HTMLParser):
         elif tag == "h1":
             self.h1 = self.h1 or said
         elif tag == "p":
-            self.paragraphs.append(said)
-        elif tag in ("dt", "strong"):
-            self.label = said.rstrip(":")
-        elif tag in ("dd", "td") and self.label:
-            self.labels.append({"label": self.label.lower(), "value": said})
-            self.label = ""
-        if tag in ("th", "td") and self.rows:
-            self.rows[-1].append(said)
-            if tag == "th":
-                self.label = said.rstrip(":")
+            self.paragraphs.append((said, self.heading, self.main > 0))
+        elif tag == "span" and self.mode_span:
+            self.modes.append(("span", said))
+        if tag in ("th", "td"):
+            if not self.tables[-1]:
+                self.tables[-1].append([])
+            self.tables[-1][-1].append(said)
+        if tag in _HEADINGS or tag in ("dt", "strong", "th"):
+            self.heading = said if tag in _HEADINGS else self.heading
+            self.label = ("heading" if tag in _HEADINGS else tag, said.rstrip(":").lower())
+        elif tag in ("dd", "td", "div", "span", "p", "li") and self.label and said and said.rstrip(":").lower() != self.label[1]:
+            self.labels.append((*self.label, re.sub(rf"^{re.escape(self.label[1])}\s*:?\s*", "", said, flags=re.I)))
+            self.label = None
 
     def handle_data(self, data: str) -> None:
         if self.silent:
@@ -79,150 +114,118 @@ class _Page(HTMLParser):
         for said in self.open.values():
             said.append(data)
 
+    def parts(self) -> fields.Parts:
+        tables = [rows for table in self.tables if (rows := [r for r in table if r])]
+        return fields.Parts(" ".join(" ".join(self.text).split()), self.title, self.h1, self.meta, self.paragraphs, self.labels, tables, self.modes)
 
-def parse(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with a struct page: text on one line without scripts and styles, title, first heading, description, paragraphs, labelled values, table rows and links of the same host."""
-    kept = [c for c in pages.columns if c != html]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in kept) + ", " + _PARTS
-    names = [p.split(" ")[0] for p in re.split(r", (?=[a-z0-9]+ (?:string|array))", _PARTS)]
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for start in range(0, len(b), 200):
-                some = b.iloc[start : start + 200]
-                out = {n: [] for n in names}
-                for u, h in zip(some[url], some[html], strict=True):
-                    p = _Page(u or "")
-                    p.feed(h or "")
-                    p.close()
-                    found = (" ".join(" ".join(p.text).split()), p.title, p.h1, p.meta, p.paragraphs, p.labels, [r for r in p.rows if r], list(dict.fromkeys(p.links)))
-                    for n, v in zip(names, found, strict=True):
-                        out[n].append(v)
-                yield pd.concat([some[kept].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-    flat = pages.select(*kept, html).mapInPandas(run, schema)
-    return flat.select(*[F.col(c) for c in kept], F.struct(*names).alias("page"))
-
-
-DEGREE_WORD = r"\b(bachelor|master|doctor|diploma|certificate|degree|phd|mba)"
-
-
-def _result(field: str, found: Column, value: Column, confidence: Column | float, method: str) -> Column:
-    sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return F.when(found, F.struct(F.lit(field).alias("field_key"), value.cast("string").alias("value"), sure.cast("double").alias("confidence"), F.lit(method).alias("method")))
-
-
-def labelled(words: str) -> Column:
-    """The value of the first label that has one of the words."""
-    return F.get(F.filter("page.labels", lambda x: x["label"].rlike(f"(?i){words}")), F.lit(0))["value"]
-
-
-def course_name() -> list[Column]:
-    h1, title = F.col("page.h1"), F.trim(F.regexp_replace("page.title", r"\s*[|–-]\s*[^|–-]*$", ""))
-    promoted = ~matches(h1, DEGREE_WORD) & matches(title, DEGREE_WORD)
-    return [_result("course_name", (title != "") & promoted, title, 0.9, "course_name.title"), _result("course_name", h1 != "", h1, 0.9, "course_name.h1"), _result("course_name", title != "", title, 0.6, "course_name.title")]
-
-
-def description() -> list[Column]:
-    fits = lambda c: F.length(c).between(40, 500)
-    first = F.get(F.filter("page.paragraphs", fits), F.lit(0))
-    return [_result("description", fits(F.col("page.meta")), F.col("page.meta"), 0.95, "description.meta"), _result("description", first.isNotNull(), first, 0.65, "description.paragraph")]
 
+def _read(url: str | None, html: str | None) -> tuple[fields.Parts, list[str]]:
+    page = _Page(url or "")
+    page.feed(html or "")
+    page.close()
+    for tag in list(page.open):
+        page.handle_endtag(tag)
+    return page.parts(), list(dict.fromkeys(page.links))
 
-def fee() -> list[Column]:
-    """A labelled amount; else of all amounts between 1,000 and 200,000 the one whose surroundings score highest, of equals the larger."""
-    text = F.col("page.text")
-    number = lambda c: F.regexp_replace(F.regexp_extract(c, r"\$\s?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,6})", 1), ",", "").try_cast("double")
-    structural = number(labelled("fee|tuition"))
-    around = F.regexp_extract_all(text, F.lit(r"([^$]{0,80}\$\s?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,6})[^$]{0,60})"), 1)
-    points = lambda c: sum((F.when(matches(c, w), n).otherwise(0) for w, n in ((r"international", 5), (r"tuition", 3), (r"full\s*course|total", 4), (r"first\s*year", -3), (r"per\s*(year|annum)|annual", 2))), F.lit(0))
-    scored = F.transform(around, lambda c: F.struct((points(c) + F.when(number(c).between(10_000, 80_000), 1).otherwise(0)).alias("score"), number(c).alias("amount"), c.alias("context")))
-    good = F.filter(scored, lambda s: s["amount"].between(1000, 200_000) & ~matches(s["context"], r"\b(salary|salaries|domestic|scholarship)\b"))
-    best = F.get(F.sort_array(good, asc=False), F.lit(0))
-    sure = F.least(F.lit(1.0), 0.4 + 0.1 * best["score"])
-    context = F.coalesce(F.when(structural.isNotNull(), labelled("fee|tuition")), best["context"])
-    return [
-        _result("international_fee", structural.between(1000, 200_000), structural, 0.85, "fee.structural"), _result("international_fee", best.isNotNull(), best["amount"], sure, "fee.scored"),
-        _result("currency", context.isNotNull(), currency(context), 0.7, "fee.currency"), _result("fee_term", context.isNotNull(), fee_term(context), 0.7, "fee.term"),
-    ]
 
+def _each_page(pages: DataFrame, url: str, html: str, columns: dict[str, tuple[str, pa.DataType]], make: Callable[[fields.Parts, list[str]], tuple]) -> DataFrame:
+    """pages without html, and with columns that make gives for each page. The other columns pass as they are."""
+    kept = [c for c in pages.columns if c != html]
+    # Plain names on the way to Python and back: those of pages may hold dots.
+    plain = [f"__c{i}" for i in range(len(kept))]
+    schema = T.StructType([T.StructField(n, pages.schema[c].dataType) for n, c in zip(plain, kept, strict=True)] + [T.StructField(n, T.DataType.fromDDL(t)) for n, (t, _) in columns.items()])
 
-#: Tests, what they are called in texts, and the scores that they give.
-TESTS = (("ielts", "IELTS", 4, 9), ("toefl", "TOEFL(?: iBT)?", 30, 120), ("cambridge", "(?:CAE|C1 Advanced|Cambridge)", 140, 230), ("duolingo", "(?:Duolingo|DET)", 50, 160), ("pte", "PTE(?: Academic)?", 10, 90))
-
-
-def english() -> list[Column]:
-    """Overall scores of each test near its name, before or after; a clause that no band may be lower sets the bands."""
-    text, out = F.col("page.text"), []
-    for test, word, low, high in TESTS:
-        after = F.regexp_extract(text, rf"(?i)\b{word}\b[^0-9.]{{0,60}}([0-9]{{1,3}}(?:\.[05])?)\b", 1).try_cast("double")
-        before = F.regexp_extract(text, rf"(?i)\b([0-9]{{1,3}}(?:\.[05])?) (?:overall )?in (?:the )?{word}\b", 1).try_cast("double")
-        out += [_result(f"{test}_overall", after.between(low, high), after, 0.85, "english.after"), _result(f"{test}_overall", before.between(low, high), before, 0.75, "english.before")]
-    band = F.regexp_extract(text, r"(?i)IELTS.{0,200}?(?:no (?:individual )?band (?:below|less than|lower than)|minimum of) ([4-9](?:\.[05])?)", 1).try_cast("double")
-    return out + [_result(f"ielts_{b}", band.isNotNull(), band, 0.8, "english.floor") for b in ("listening", "reading", "writing", "speaking")]
-
-
-def intake() -> list[Column]:
-    """Months in a labelled value, else in sentences about intakes, in calendar order."""
-    named = lambda c: F.filter(F.array(*[F.when(matches(c, rf"\b({m}|{m[:3]})\b"), F.lit(m)) for m in MONTHS]), lambda x: x.isNotNull())
-    label = named(F.coalesce(labelled("intake|start|commenc"), F.lit("")))
-    near = named(F.array_join(F.regexp_extract_all("page.text", F.lit(r"(?i)((?:intake|start date|commenc)[^.]{0,120})"), 1), " "))
-    return [_result("intake_months", F.size(label) > 0, F.array_join(label, ";"), 0.8, "intake.structural"), _result("intake_months", F.size(near) > 0, F.array_join(near, ";"), 0.7, "intake.month")]
-
-
-def duration() -> list[Column]:
-    """Of all amounts of time the one with the most weight: labelled hundredfold, full time tenfold; credit and combined ones hardly count."""
-    amount = r"([0-9]{1,3}(?:\.[0-9])?)\s*-?\s*(year|month|week)s?"
-    weeks = lambda c: F.regexp_extract(c, rf"(?i){amount}", 1).try_cast("double") * first_match([(F.lower(F.regexp_extract(c, rf"(?i){amount}", 2)) == u, w) for u, w in (("year", 52.0), ("month", 4.345), ("week", 1.0))])
-    weight = lambda c: F.when(matches(c, "full[- ]time"), 10.0).otherwise(1.0) * F.when(matches(c, "credit"), 0.01).otherwise(1.0) * F.when(matches(c, "combined|double"), 0.001).otherwise(1.0)
-    found = F.regexp_extract_all("page.text", F.lit(rf"(?i)(.{{0,30}}\b{amount}\b.{{0,25}})"), 1)
-    ranked = F.filter(F.transform(found, lambda c: F.struct((weeks(c) * 100 * weight(c)).alias("rank"), F.regexp_extract(c, rf"(?i){amount}", 0).alias("said"))), lambda s: s["rank"].isNotNull())
-    best, label = F.get(F.sort_array(ranked, asc=False), F.lit(0)), F.regexp_extract(F.coalesce(labelled("duration|length"), F.lit("")), rf"(?i){amount}", 0)
-    return [_result("duration", label != "", label, 0.9, "duration.structural"), _result("duration", best.isNotNull(), best["said"], 0.6, "duration.text")]
-
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 200):
+                some = b.slice(start, 200)
+                made = [make(*_read(u, h)) for u, h in zip(some.column(some.num_columns - 2).to_pylist(), some.column(some.num_columns - 1).to_pylist(), strict=True)]
+                arrays = [pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays(some.columns[: len(kept)] + arrays, [*plain, *columns])
 
-def study_mode() -> list[Column]:
-    said = F.coalesce(labelled("mode|delivery"), F.lit(""))
-    mode = lambda c: F.when(matches(c, r"\bonline\b") & matches(c, r"\b(campus|person)\b") | matches(c, r"\bblended|hybrid\b"), "Blended").when(matches(c, r"\bonline|distance\b"), "Online").when(matches(c, r"\bcampus|in person|face[- ]to[- ]face\b"), "On Campus")
-    return [_result("study_mode", mode(said).isNotNull(), mode(said), 0.9, "study_mode:label"), _result("study_mode", mode(F.col("page.text")).isNotNull(), mode(F.col("page.text")), 0.5, "study_mode:keyword")]
+    sent = pages.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(plain, kept, strict=True)], F.col(f"`{url}`").alias("__url"), F.col(f"`{html}`").alias("__html"))
+    return sent.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(plain, kept, strict=True)], *columns)
 
 
-def location() -> list[Column]:
-    said = labelled("location|campus")
-    near = F.regexp_extract("page.text", r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)?) [Cc]ampus\b", 1)
-    return [_result("course_location", F.coalesce(said, F.lit("")) != "", said, 0.9, "location.label"), _result("course_location", near != "", near, 0.5, "location.text")]
+def parse(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """pages with a struct page: text on one line without scripts and styles, title, first heading, description, paragraphs, labelled values, table rows and links of the same host."""
 
+    def make(p: fields.Parts, links: list[str]) -> tuple:
+        return p.text, p.title, p.h1, p.meta, [q[0] for q in p.paragraphs], [{"label": k, "value": v} for _, k, v in p.labels], [r for t in p.tables for r in t], links
 
-def classified() -> list[Column]:
-    text = F.col("page.text")
-    level, told, code = degree_level(F.coalesce(F.nullif("page.h1", F.lit("")), F.col("page.title")), text), eligibility(text), registration_code(text)
-    return [
-        _result("degree_level", level["level"].isNotNull(), level["level"], level["confidence"], "degree_level"), _result("international_eligible", told.isNotNull(), told["eligible"], told["confidence"], "eligibility"),
-        _result("cricos_code", code.isNotNull(), code, 0.9, "regex:cricos"),
-    ]
+    # One struct made in Python would be read whole; flat columns let Spark drop what nobody reads.
+    flat = _each_page(pages, url, html, {f"__{n}": t for n, t in _PARTS.items()}, make)
+    return flat.select(*[F.col(f"`{c}`") for c in pages.columns if c != html], F.struct(*[F.col(f"__{n}").alias(n) for n in _PARTS]).alias("page"))
 
 
-#: Extractors in the order that they are tried in.
-EXTRACTORS = (course_name, description, location, fee, english, intake, duration, study_mode, classified)
+DEGREE_WORD = fields.DEGREE.pattern
+TERM_WORDS = "|".join(words for words, _ in FEE_TERMS)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """A row for each field that a page has: pages' columns but html, field_key, value, confidence, method and pos, its place among the page's results. The first of a field is the one to take."""
-    parsed = parse(pages, url, html)
-    results = F.filter(F.array(*[r for e in EXTRACTORS for r in e()]), lambda x: x.isNotNull())
-    return parsed.select(*[c for c in pages.columns if c != html], F.posexplode(results).alias("pos", "r")).select(*[c for c in pages.columns if c != html], "pos", "r.*")
-
-
-def page_type() -> Column:
-    """detail, listing or unknown, by a degree word in the heading, the address and the number of links to courses."""
-    links = F.size(F.filter("page.links", lambda x: matches(x, "course|degree|program|study")))
-    return F.when(matches("page.h1", DEGREE_WORD) & (links < 6), "detail").when((F.length("page.text") > 1500) & (links < 3), "detail").when(links >= 5, "listing").otherwise("unknown")
-
-
-def fee_table(rows: Column | str = "page.rows") -> Column:
-    """(program, amount) of table rows: the first cell and the row's first amount between 2,000 and 200,000; rows without one go."""
-    amount = lambda cells: F.get(F.filter(F.transform(cells, lambda c: F.regexp_replace(F.regexp_extract(c, r"\$?\s?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,6})", 1), ",", "").try_cast("double")), lambda x: x.between(2000, 200_000)), F.lit(0))
-    return F.filter(F.transform(col(rows), lambda cells: F.struct(F.get(cells, F.lit(0)).alias("program"), amount(F.slice(cells, 2, 50)).alias("amount"))), lambda s: s["amount"].isNotNull() & (s["program"] != ""))
+    """A row for each field that a page has: pages' columns but html, field_key, value, confidence, method and pos, its place among the page's results. The first of a field is the one to take.
+
+    A page is parsed and searched once, in an Arrow batch; currency, fee term, level, eligibility and code are then told by column expressions.
+    """
+    columns = {"__name": ("string", pa.string()), "__text": ("string", pa.string()), "__fee": ("string", pa.string()), "__found": ("array<struct<field_key: string, value: string, confidence: double, method: string>>", _FOUND)}
+
+    def make(p: fields.Parts, links: list[str]) -> tuple:
+        found, context = fields.fields(p)
+        return p.h1 or p.title, p.text, context, [dict(zip(("field_key", "value", "confidence", "method"), f, strict=True)) for f in found]
+
+    level, told, code, context = F.col("__level"), F.col("__told"), F.col("__code"), F.col("__fee")
+    told_of = [("currency", F.when(context.isNotNull(), currency(context)), F.lit(0.7), "fee.currency"), ("fee_term", F.when(context.isNotNull(), fee_term(context)), F.lit(0.7), "fee.term")]
+    told_of += [("degree_level", level["level"], level["confidence"], "degree_level"), ("international_eligible", told["eligible"].cast("string"), told["confidence"], "eligibility"), ("cricos_code", code, F.lit(0.9), "regex:cricos")]
+    more = F.array(*[F.struct(F.lit(k).alias("field_key"), v.alias("value"), sure.cast("double").alias("confidence"), F.lit(m).alias("method")) for k, v, sure, m in told_of])
+    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    # What is told by a whole text is told once, in a step of its own.
+    read = _each_page(pages, url, html, columns, make).select(*others, "__found", "__fee", degree_level("__name", "__text").alias("__level"), eligibility("__text").alias("__told"), registration_code("__text").alias("__code"))
+    listed = read.select(*others, "__found", more.alias("__more"))
+    results = F.concat("__found", F.filter("__more", lambda x: x["value"].isNotNull()))
+    return listed.select(*others, F.posexplode(results).alias("pos", "__r")).select(*others, "pos", "__r.*")
+
+
+def page_type(url: Column | str = "url") -> Column:
+    """detail, listing or unknown.
+
+    detail: a degree word in the heading and in the last of two or more parts of the address, and under six links to courses; or a text about
+    a course and its conditions with under three such links. listing: any links to courses. The rest is unknown.
+    """
+    path = F.split(F.trim(F.regexp_replace(F.regexp_extract(F.lower(col(url)), r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/+", " ")), " ")
+    last, links = F.element_at(path, -1), F.size(F.filter("page.links", lambda x: matches(x, r"/(course|degree|program|stud)[^/]*/[^/?#]+") | matches(x, DEGREE_WORD)))
+    by_name = matches("page.h1", DEGREE_WORD) & (F.size(path) >= 2) & matches(last, DEGREE_WORD) & (links < 6)
+    by_text = matches("page.text", r"\b(course|degree|program)") & matches("page.text", r"\b(fee|tuition|ielts|duration|intake|entry requirement)") & (links < 3)
+    return F.when(by_name | by_text, "detail").when(links > 0, "listing").otherwise("unknown")
+
+
+def fee_tables(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """pages' columns but html, program, amount and term, a row for each row of a fee table. The term is told by the row, else by the head, else by the kind of its fee column."""
+    flat = _each_page(pages, url, html, {"__fees": ("array<struct<program: string, amount: double, kind: string, said: string, head: string>>", _FEES)}, lambda p, links: ([r for t in p.tables for r in fields.fee_rows(t)],))
+    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    rows = flat.select(*others, F.explode("__fees").alias("__r"))
+    row, head, kind = F.col("__r.said"), F.col("__r.head"), F.col("__r.kind")
+    term = F.when(matches(row, TERM_WORDS), fee_term(row)).when(matches(head, TERM_WORDS), fee_term(head)).when(kind == "total", "Full Course").when(kind == "unit", "Per Unit").otherwise("Annual")
+    return rows.select(*others, F.col("__r.program").alias("program"), F.col("__r.amount").alias("amount"), term.alias("term"))
+
+
+def coded_rows(documents: DataFrame, text: str = "text") -> DataFrame:
+    """documents' columns but text, code, program, amount, term and year, for the rows of a fee table in a plain text that carry a registration code and its unit, annual and total fees.
+
+    A row's program begins at the last degree word before its code, brackets that follow included. A code's last row counts. A total that is above
+    the annual fee is the whole course's. Texts with under two such rows give none.
+    """
+    number = r"(?:\$\s?[0-9][0-9,]*|[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,6})"
+    start = r"(?:Bachelor|Master|Doctor|Graduate|Diploma|Associate|Certificate|Advanced)\b"
+    row = rf"({start}(?:(?!{start})[^$]){{2,200}}?)\s+([0-9]{{6,7}}[A-Z])\b[^$]{{0,80}}?({number})\s+({number})\s+({number})(?![0-9,])"
+    pattern = F.lit(f"(?s){row}")
+    each = F.arrays_zip(*[F.regexp_extract_all(F.col(f"`{text}`"), pattern, F.lit(i)).alias(n) for i, n in enumerate(("program", "code", "per_unit", "annual", "total"), 1)])
+    others = [c for c in documents.columns if c != text]
+    value = lambda c: F.regexp_replace(c, r"[^0-9]", "").try_cast("double")
+    year = F.nullif(F.regexp_extract(F.col(f"`{text}`"), r"(?i)\b(20[0-9]{2})\b[^.]{0,40}(?:fee|tuition)|(?:fee|tuition)[^.]{0,40}\b20[0-9]{2}\b", 1), F.lit("")).cast("int")
+    rows = F.transform(each, lambda r: F.struct(r["code"].alias("code"), F.regexp_replace(F.trim(r["program"]), r"\s+", " ").alias("program"), value(r["total"]).alias("amount"), F.when(value(r["total"]) > value(r["annual"]), "Full Course").otherwise("Annual").alias("term")))
+    last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda x: x["code"] == r["code"]))
+    found = documents.where(F.size(F.regexp_extract_all(F.col(f"`{text}`"), pattern, F.lit(2))) >= 2).select(*[F.col(f"`{c}`") for c in others], year.alias("__year"), F.explode(last).alias("__r"))
+    return found.where("__r.amount > 1000 AND __r.amount < 200000").select(*[F.col(f"`{c}`") for c in others], "__r.*", F.col("__year").alias("year"))
 
 
 def near_keyword(text: Column | str, value: str, keyword: str, span: int = 100) -> Column:

@@ -28,9 +28,19 @@ def ex_16_page_type(t: Tables) -> DataFrame:
     return html.parse(t.pages).select("page_id", html.page_type().alias("kind"))
 
 
-@plan()
+@plan("""SELECT p_partkey, NULL::VARCHAR AS code, 'Bachelor of ' || p_name AS program, CAST(10000 + p_partkey AS DOUBLE) AS amount, 'Annual' AS term FROM part
+UNION ALL SELECT p_partkey, '900000A', 'Master of Law', 20000.0 + p_partkey, 'Full Course' FROM part
+UNION ALL SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'K', 'Master of Art', 20000.0 + p_partkey, 'Full Course' FROM part""")
 def ex_20_21_fee_tables(t: Tables) -> DataFrame:
-    return html.parse(t.pages).select("page_id", F.explode(html.fee_table()).alias("r")).select("page_id", "r.program", "r.amount")
+    """Tables of pages, and rows keyed by code in plain texts: a page, a table and a text made from each part, since the test pages have no fees."""
+    amount, name = F.format_number(F.lit(10_000) + F.col("p_partkey"), 0), F.concat(F.lit("Bachelor of "), "p_name")
+    page = F.concat(F.lit("<table><tr><td>Fees</td></tr><tr><th>Course</th><th>Domestic</th><th>International fee per year</th></tr><tr><td>"), name, F.lit("</td><td>$9,000</td><td>$"), amount, F.lit("</td></tr></table>"))
+    tables = html.fee_tables(t.part.select("p_partkey", F.lit("https://a.org/fees").alias("url"), page.alias("html"))).drop("url").withColumn("code", F.lit(None).cast("string"))
+    code = F.concat(F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("K"))
+    line = lambda n, c: F.concat(F.lit("Master of "), n, F.lit(" "), c, F.lit(" $1,200 $"), amount, F.lit(" $"), F.format_number(F.lit(20_000) + F.col("p_partkey"), 0), F.lit("\n"))
+    texts = html.coded_rows(t.part.select("p_partkey", F.concat(F.lit("Tuition fees 2026\n"), line(F.lit("Law"), F.lit("900000A")), line(F.lit("Art"), code)).alias("text"))).drop("year")
+    columns = ["p_partkey", "code", "program", "amount", "term"]
+    return tables.select(columns).unionAll(texts.select(columns))
 
 
 @plan("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN true END AS eligible FROM orders""")
