@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table."""
+"""The queries op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, embeddings, langid, packing, secrets, simhash, substring_dedup, tokenfile, toxicity, weighted_sampling
+from gristmill.llm import bpe, embeddings, importance, langid, packing, secrets, simhash, spelling, substring_dedup, token_counts, tokenfile, toxicity, weighted_sampling
 
 #: A fifth of the documents, by their ids, that no label is learned from. A row without an id is not held out.
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0, false)"
@@ -74,6 +74,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of all documents that resembles the benchmark."""
+    return importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, one in 97 of which is misspelt."""
+    return spelling.variants(_documents(spark, sf_dir), misspell=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embeddings": op2_embeddings,
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_langid": op10_langid,
+    "op11_importance": op11_importance,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling": op13_spelling,
 }
 
 #: None of these can be said in SQL; tests hold them against brute force.
