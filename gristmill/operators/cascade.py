@@ -76,7 +76,7 @@ def match_in_passes(
     """
     own = [f"_key{i}" for i in range(len(within))]
     given = [F.col(k).alias(o) for k, o in zip(within, own, strict=True)]
-    optional = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
+    optional = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
     joined = lambda words: F.array_join(words, " ")
     a = left.select(*given, F.col(left_id).alias("l"), joined(name_words(left_name)).alias("words"), award(left_name).alias("award"), optional(left_code).alias("code"))
     more = F.array() if right_more is None else name_words(right_more)

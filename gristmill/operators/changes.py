@@ -49,7 +49,7 @@ def run_diff(
     fields = sorted({*before.columns, *after.columns} - skip)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        kept = df.where(F.coalesce(F.col(key), F.lit("")) != "")
+        kept = df.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
         kept = first_per(kept, [key], [F.desc(position)]) if position else kept
         said = F.nullif(F.col(error).cast("string"), F.lit("")) if error in df.columns else F.lit(None).cast("string")
         out = F.coalesce(F.col(ruled_out).cast("boolean"), F.lit(False)) if ruled_out and ruled_out in df.columns else F.lit(False)
@@ -115,7 +115,7 @@ def stage_rows(staged: DataFrame, new: DataFrame, job: str, owner: str, url: str
     A new row whose job has staged its url before is refused. Rows without a url are all kept and replace nothing.
     """
     keys = [job, owner, url]
-    named = F.coalesce(F.col(url), F.lit("")) != ""
+    named = F.coalesce(F.col(url).cast("string"), F.lit("")) != ""
     fresh = first_per(new.where(named), keys, [F.asc(position)]).join(staged.select(*keys), keys, "left_anti")
     # Of jobs that come together the last one that stages a url is left beside the confirmed rows.
     latest = first_per(fresh.select(owner, url, F.col(job).alias("__job"), F.col(position).alias("__at")), [owner, url], [F.desc("__at")]).drop("__at")

@@ -101,7 +101,8 @@ def _of_pairs(measure: object, name: str) -> object:
         return pd.Series([measure(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
     measured.__name__ = name
-    return measured
+    # Spark moves no filter on it below an aggregate, where it would measure each repeat, and measures nothing twice.
+    return measured.asNondeterministic()
 
 
 _ratio, _weighted = _of_pairs(ratio, "ratio"), _of_pairs(weighted_ratio, "weighted_ratio")
@@ -118,6 +119,14 @@ def letters_in_common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
 
 
+def letter_bits(c: Column) -> Column:
+    """64 bits of a text: for each letter and how often it has come before, one bit is turned. Two texts differ in no more bits than letters put in or left out."""
+    turned = lambda x, bit: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")))
+    times = lambda x: F.sequence(F.lit(1), F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+    bits = F.flatten(F.transform(F.filter(F.array_distinct(F.split(c, "")), lambda x: x != ""), lambda x: F.transform(times(x), lambda k: F.xxhash64(x, k))))
+    return F.aggregate(bits, F.lit(0).cast("long"), turned)
+
+
 def token_sort_ratio(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
     """The ratio of two texts with their words sorted; null where letters alone tell that it is below least. Null texts count as empty."""
     x, y = (sorted_words(F.coalesce(col(c), F.lit(""))) for c in (a, b))
@@ -168,7 +177,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text:
     With L the longest common subsequence of a pair of that ratio, 2 L >= least / 100 * (la + lb). Each letter left out breaks two pairs of
     neighbours at most and each put in one, so 3 L - la - lb - 1 pairs of neighbours stay, in order, moved by lb - L to the right or la - L to the
     left at most. Hence one of them is among the rarest pairs of both sides, all but that number less one.
-    Null and empty texts meet nothing. A group's hot letter pairs are split by adaptive skew joins; pairs are ruled out by length, place and letters before Python sees them.
+    Null and empty texts meet nothing. A group's hot letter pairs are split by adaptive skew joins; pairs are ruled out by length, place and letters while they are joined, before a row is made of them.
     """
     (given, keys, back), t = _keys(within), least / 100
     if t <= 2 / 3:
@@ -178,8 +187,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text:
         s, n = F.col("s"), F.length("s")
         places = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.substring(s, i, F.lit(2)).alias("g"), i.alias("p")))
         letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.concat(F.lit("\0"), F.substring(s, i, F.lit(1))).alias("g"), i.alias("p")))
-        known = df.select(*given, F.col(text).alias("s")).where("s <> ''").distinct()
-        return known.select(*keys, "s", n.alias("n"), F.explode(F.when(n == 1, letters).when(n <= SHORT, F.concat(places, letters)).otherwise(places)).alias("e")).select(*keys, "s", "n", "e.g", "e.p")
+        known = df.select(*given, F.col(text).alias("s")).where("s <> ''").distinct().withColumn("bits", letter_bits(s))
+        return known.select(*keys, "s", n.alias("n"), "bits", F.explode(F.when(n == 1, letters).when(n <= SHORT, F.concat(places, letters)).otherwise(places)).alias("e")).select(*keys, "s", "n", "bits", "e.g", "e.p")
 
     a, b = grams(left, left_text), grams(right, right_text)
     often = a.select(*keys, "g").unionByName(b.select(*keys, "g")).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("df"))
@@ -190,17 +199,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text:
         kept = F.greatest(F.lit(1), F.ceil((F.col("n") + shortest) * (1.5 * t - 1) - 1.000001))
         order = F.row_number().over(Window.partitionBy(*keys, "s").orderBy("df", "g", "p"))
         first = df.join(often, [*keys, "g"]).withColumn("rn", order).where((F.col("n") <= SHORT) | (F.col("rn") <= F.col("n") - 1 - kept + 1))
-        return first.select(*keys, "g", "s", "n", "p")
+        return first.select(*keys, "g", "s", "n", "bits", "p")
 
     x, y = rare(a).alias("x"), rare(b).alias("y")
     la, lb = F.col("x.n"), F.col("y.n")
     common = F.ceil((la + lb) * (t / 2) - 1e-9)
     shift = F.col("y.p") - F.col("x.p")
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*keys, "g"]]
-    near = [common <= F.least(la, lb), shift <= lb - common, shift >= common - la]
+    near = [common <= F.least(la, lb), shift <= lb - common, shift >= common - la, F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= la + lb - 2 * common]
     met = x.join(y, [*same, *near]).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
-    able = met.where(200 * letters_in_common(F.col("a"), F.col("b")) >= least * (F.length("a") + F.length("b")))
-    return able.withColumn("score", _ratio("a", "b")).where(F.col("score") >= least).select(*back, "a", "b", "score")
+    return met.withColumn("score", _ratio("a", "b")).where(F.col("score") >= least).select(*back, "a", "b", "score")
 
 
 def match_names(

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from gristmill.functions.domain import degree_bucket
-from gristmill.functions.text import col, first_match, natural_key, normalize, tokens
+from gristmill.functions.text import col, first_match, natural_key, tokens
 from gristmill.functions.values import is_empty_value
 from gristmill.operators.rows import first_per, modal, ranked
 
@@ -155,47 +152,6 @@ def reconcile_mode(mode: Column | str, location: Column | str, by_rule: Column |
     return F.when((m == "Online") & here & (col(by_rule) | (col(confidence) < low)), F.lit("On Campus")).when((m == "On Campus") & col(by_rule) & ~here & ~col(place_seen), F.lit("Online")).otherwise(m)
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 less the share of insertions and deletions that turn a into b: twice their longest common subsequence by both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-@pandas_udf(DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two texts whose words are sorted; a batch at a time."""
-    ordered = lambda s: " ".join(sorted((s or "").split()))
-    return pd.Series([indel_ratio(ordered(x), ordered(y)) for x, y in zip(a, b, strict=True)])
-
-
-def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str, least: float = 80.0, high: float = 85.0) -> DataFrame:
-    """Rows (left_id, right_id, quality): by equal normalised names, else by the likeliest name among those that share one of their three rarest words.
-
-    Distinct names are compared, each standing for the right row with the smallest id, so that a name that very many rows have costs
-    no more than another. Only names that share a rare word are compared, so no cross join arises; a name that has no rare word
-    in common with any, or no word at all, is unmatched.
-    """
-    a = left.select(F.col(left_id).alias("l"), normalize(left_name).alias("n")).where("n <> ''")
-    b = right.select(F.col(right_id).alias("r"), normalize(right_name).alias("n")).where("n <> ''").groupBy("n").agg(F.min("r").alias("r"))
-    exact = a.join(b, "n").select("l", "r", F.lit("exact").alias("quality"), F.lit(100.0).alias("score"))
-    rest = a.join(b, "n", "left_anti")
-    words = b.select("r", F.col("n").alias("n2"), F.explode(F.array_distinct(tokens("n"))).alias("w"))
-    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = ranked(words.join(common, "w"), ["r"], [F.asc("df"), F.asc("w")]).where("rn <= 3").select("r", "n2", "w")
-    pairs = rest.select("n").distinct().select("n", F.explode(tokens("n")).alias("w")).join(rare, "w").select("n", "r", "n2").distinct()
-    # The ratio is at least so high only if the shorter name is so long: 2 * shorter / (shorter + longer).
-    shorter, longer = F.least(F.length("n"), F.length("n2")), F.greatest(F.length("n"), F.length("n2"))
-    scored = pairs.where(200 * shorter >= least * (shorter + longer)).withColumn("score", token_sort_ratio("n", "n2")).where(F.col("score") >= least)
-    best = first_per(scored, ["n"], [F.desc("score"), F.asc("r")]).select("n", "r", F.when(F.col("score") >= high, "high").otherwise("medium").alias("quality"), "score")
-    return exact.unionByName(rest.join(best, "n").drop("n")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "quality", "score")
-
-
 def token_overlap_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, shared: int = 2, coverage: float = 0.5, most: int = 25) -> DataFrame:
     """Rows (left_id, right_id, shared): of the right rows with at least so many words in common and so much of either covered, the one with the most, then of the nearest size.
 

@@ -80,19 +80,6 @@ def er_08_backfill(t: Tables) -> DataFrame:
     return er.sibling_backfill(rows, results, "c_nationkey", "slot", "method", "confidence", "c_custkey").select("c_custkey", "slot", "filled_by")
 
 
-@plan()
-def er_09_fuzzy(t: Tables) -> DataFrame:
-    """joi_18 is the same join."""
-    left = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("l"))
-    right = left.select(F.col("l").alias("r"), F.regexp_replace("p_name", "^([a-z]+) ([a-z]+)$", "$2 $1s").alias("other"))
-    return er.fuzzy_match(left, right, "l", "p_name", "r", "other")
-
-
-@plan()
-def joi_18_fuzzy(t: Tables) -> DataFrame:
-    return er_09_fuzzy(t)
-
-
 _WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND NOT list_contains(['a','an','and','at','by','for','from','in','of','on','or','the','to','with'], x)))"
 
 

@@ -114,14 +114,6 @@ def test_duplicates_and_gaps(spark):
     assert sorted(map(tuple, resolution.repoint(children, mapping, "id", single=True).collect())) == [(1, "own"), (4, "other")]
 
 
-def test_fuzzy(spark):
-    a = spark.createDataFrame([(1, "Master of Law"), (2, "Laws of Mastery"), (3, "Zoology")], "l int, n string")
-    b = spark.createDataFrame([(7, "master  of law"), (8, "Law Masters")], "r int, m string")
-    got = {r.l: (r.r, r.quality) for r in resolution.fuzzy_match(a, b, "l", "n", "r", "m").collect()}
-    assert got == {1: (7, "exact")}
-    assert resolution.indel_ratio("abc", "abc") == 100 and resolution.indel_ratio("", "a") == 0
-
-
 def test_issues_and_coherence(spark):
     schema = "course_name string, degree_level string, international_fee double, has_central_fee_page boolean, ielts_overall double, pte_overall double, toefl_overall double, cambridge_overall double, duolingo_overall double, duolingo_accepted boolean, cambridge_accepted boolean, pte_accepted boolean, toefl_accepted boolean, duration double, duration_term string, intake_months array<string>, course_location string, study_mode string"
     row = ("Bachelor of Law", "Bachelor's", 499.0, False, 6.0, 65.0, 85.0, 176.0, 115.0, False, None, None, None, 10.1, "year", ["Smarch"], "City", "Online")
