@@ -356,3 +356,39 @@ def fee_rows(table: list[list[str]]) -> list[dict[str, object]]:
                 out.append({"program": row[program], "amount": _money(m), "kind": kind, "said": " ".join(row), "head": " ".join(head)})
                 break
     return out
+
+
+#: Words of a column's head, the levels that it holds for, and how much it counts for the page as a whole.
+LEVEL_COLUMNS = (
+    (("bachelor", "postgraduate"), ("postgraduate", "undergraduate"), 4), (("diploma", "advanced diploma", "associate diploma"), ("diploma",), 3),
+    (("eap 2", "eap2", "academic purposes 2", "purposes 2"), (), 2), (("eap 1", "eap1", "academic purposes 1", "purposes 1"), (), 1),
+)
+#: Tests and how their cells give a score.
+TEST_ROWS = (
+    ("ielts", r"overall\s+(\d\.?\d*)"), ("pte", r"(?:academic\s+)?score\s+of\s+(\d{2,3})"), ("toefl", r"(?:(?:total|band)\s+)?score\s+of\s+(\d{2,3})"),
+    ("cambridge", r"(?:band\s+)?score\s+of\s+(\d{3})"), ("duolingo", r"(?:overall\s+)?score\s+of\s+(\d{2,3})"),
+)
+
+
+def english_columns(table: list[list[str]]) -> list[dict[str, object]]:
+    """level, test and score from a table with a column for each level and a row for each test; of equal ones the last counts.
+
+    The page as a whole (level None) has the scores of the column that counts most, of equal ones the first. A table without a column of a known level gives nothing.
+    """
+    if len(table) < 2 or len(table[0]) < 3:
+        return []
+    known = {}
+    for i, head in enumerate(table[0][1:], 1):
+        low = head.lower()
+        if found := next((c for c in LEVEL_COLUMNS if any(w in low for w in c[0])), None):
+            known[i] = found[1:]
+    if not known:
+        return []
+    top, out = max(known, key=lambda i: known[i][1]), {}
+    for row in table[1:]:
+        test = next(((t, p) for t, p in TEST_ROWS if row and t in row[0].lower()), None)
+        for i, (levels, _) in known.items() if test else ():
+            m = re.search(test[1], row[i], re.I) if i < len(row) else None
+            for level in (*levels, *((None,) if i == top else ())) if m else ():
+                out[level, test[0]] = float(m[1])
+    return [{"level": level, "test": test, "score": score} for (level, test), score in out.items()]

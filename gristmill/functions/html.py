@@ -221,13 +221,47 @@ def coded_rows(documents: DataFrame, text: str = "text") -> DataFrame:
     each = F.arrays_zip(*[F.regexp_extract_all(F.col(f"`{text}`"), pattern, F.lit(i)).alias(n) for i, n in enumerate(("program", "code", "per_unit", "annual", "total"), 1)])
     others = [c for c in documents.columns if c != text]
     value = lambda c: F.regexp_replace(c, r"[^0-9]", "").try_cast("double")
-    year = F.nullif(F.regexp_extract(F.col(f"`{text}`"), r"(?i)\b(20[0-9]{2})\b[^.]{0,40}(?:fee|tuition)|(?:fee|tuition)[^.]{0,40}\b20[0-9]{2}\b", 1), F.lit("")).cast("int")
+    year = F.nullif(F.regexp_extract(F.col(f"`{text}`"), r"(?i)(?:\b20[0-9]{2}\b[^.\n]{0,40}(?:fee|tuition)|(?:fee|tuition)[^.\n]{0,40}\b20[0-9]{2}\b)", 0), F.lit(""))
+    year = F.regexp_extract(year, r"\b(20[0-9]{2})\b", 1).try_cast("int")
     rows = F.transform(each, lambda r: F.struct(r["code"].alias("code"), F.regexp_replace(F.trim(r["program"]), r"\s+", " ").alias("program"), value(r["total"]).alias("amount"), F.when(value(r["total"]) > value(r["annual"]), "Full Course").otherwise("Annual").alias("term")))
     last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda x: x["code"] == r["code"]))
     found = documents.where(F.size(F.regexp_extract_all(F.col(f"`{text}`"), pattern, F.lit(2))) >= 2).select(*[F.col(f"`{c}`") for c in others], year.alias("__year"), F.explode(last).alias("__r"))
     return found.where("__r.amount > 1000 AND __r.amount < 200000").select(*[F.col(f"`{c}`") for c in others], "__r.*", F.col("__year").alias("year"))
 
 
+def fee_lines(documents: DataFrame, text: str = "text", back: int = 3) -> DataFrame:
+    """documents' columns but text, program, amount and term, a row for each line with an amount of 2,000 to 200,000 whose program is known.
+
+    The program is the nearest of the back lines before it that has no such amount and more than four characters; else, what stands before a dash or colon in front of the
+    amount. The term is the line's, else that of the lines from there on, else null. For texts of pages that have no fee table; blank lines do not count.
+    """
+    lines = F.filter(F.transform(F.split(F.col(f"`{text}`"), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    money = F.lit(r"(?i)(?:A\$|AUD\s*|NZ\$|CA\$|US\$|\$)\s*([0-9,]+(?:\.[0-9]+)?)")
+    amounts = lambda x: F.filter(F.transform(F.regexp_extract_all(x, money, 1), lambda v: F.regexp_replace(v, ",", "").try_cast("double")), lambda v: v.between(2_000, 200_000))
+    read = F.transform(lines, lambda x: F.struct(x.alias("line"), F.get(amounts(x), F.lit(0)).alias("amount")))
+    others = [F.col(f"`{c}`") for c in documents.columns if c != text]
+    rows = documents.select(*others, read.alias("__read")).select(*others, "__read", F.posexplode("__read").alias("__at", "__l")).where("__l.amount IS NOT NULL")
+    first = F.greatest(F.col("__at") - back, F.lit(0))
+    before = F.slice("__read", first + 1, F.col("__at") - first)
+    names = F.filter(before, lambda x: x["amount"].isNull() & (F.length(x["line"]) > 4))
+    ahead = F.trim(F.regexp_extract("__l.line", r"(?i)^(.+?)\s*[-—–:]\s*(?=A?\$|USD\s|\bAUD\s)", 1))
+    program = F.coalesce(F.try_element_at(names, F.lit(-1))["line"], F.when((F.length(ahead) > 4) & (F.size(amounts(ahead)) == 0), ahead))
+    term = lambda c: F.when(matches(c, r"\bper\s*tri(mester)?\b"), "Trimester").when(matches(c, r"\bper\s*sem(ester)?\b"), "Semester").when(matches(c, r"\b(per\s*year|per\s*annum|p\.?a\.?|annual)\b"), "Annual")
+    context = F.array_join(F.concat(before["line"], F.array("__l.line")), " ")
+    return rows.select(*others, program.alias("program"), F.col("__l.amount").alias("amount"), F.coalesce(term(F.col("__l.line")), term(context)).alias("term")).where("program IS NOT NULL")
+
+
+_SCORES = pa.list_(pa.struct([("level", pa.string()), ("test", pa.string()), ("score", pa.float64())]))
+
+
+def english_by_level(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """pages' columns but html, level, test and score from the first table whose columns are levels and whose rows are tests; level null stands for the page as a whole."""
+    kind = "array<struct<level: string, test: string, score: double>>"
+    flat = _each_page(pages, url, html, {"__scores": (kind, _SCORES)}, lambda p, links: (next((r for t in p.tables if (r := fields.english_columns(t))), []),))
+    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    return flat.select(*others, F.explode("__scores").alias("__s")).select(*others, "__s.*")
+
+
 def near_keyword(text: Column | str, value: str, keyword: str, span: int = 100) -> Column:
     """Whether value occurs within span characters of keyword. Both are plain words."""
     a, b = re.escape(value), re.escape(keyword)

@@ -73,7 +73,7 @@ def month_name(c: Column | str) -> Column:
 
 def month_list(c: Column | str, longest: int = 32) -> Column:
     """Months of a list in one text, by their whole or three-letter names; what is no month is kept, cut to longest characters; repeats go, the order stays."""
-    parts = F.filter(F.transform(F.split(col(c), r"[,;/|]+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(col(c), r"[,;/|]+"), lambda x: F.trim(x)), lambda x: x != "")
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")
     whole = lambda x: first_match((letters(x).isin(m.lower(), m[:3].lower(), *(("sept",) if m == "September" else ())), m) for m in MONTHS)
     read = F.transform(F.filter(parts, lambda x: letters(x) != ""), lambda x: F.coalesce(whole(x), F.substring(x, 1, longest)))

@@ -64,12 +64,17 @@ def bad_sources(evidence: DataFrame, keys: Sequence[str], url: str, pattern: str
     return evidence.where(F.lower(F.col(url)).rlike(pattern)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def new_prefixes(rows: DataFrame, run: str, run_order: str, url: str, current: object, lookback: int = 4, most: int = 5) -> DataFrame:
-    """Rows (prefix, n): prefixes with more than most rows in the current run and none in the last lookback runs; none without earlier runs."""
+def new_prefixes(rows: DataFrame, run: str, run_order: str, url: str, current: object = None, lookback: int = 4, most: int = 5) -> DataFrame:
+    """Rows (prefix, n): prefixes with more than most rows in the current run (the largest one, if none is named) and none in the last lookback runs; none without earlier runs."""
+    if current is None:
+        latest = rows.agg(F.max(run).alias("__current"))
+    else:
+        latest = rows.sparkSession.range(1).select(F.lit(current).alias("__current"))
+    rows = rows.join(F.broadcast(latest))
     at = rows.withColumn("prefix", coarse_prefix(url))
-    now = at.where(F.col(run) == current)
+    now = at.where(F.col(run) == F.col("__current"))
     start = now.agg(F.min(run_order).alias("__start"))
-    past_runs = rows.where(F.col(run) != current).groupBy(run).agg(F.min(run_order).alias("__at")).join(start, F.col("__at") < F.col("__start")).orderBy(F.desc("__at")).limit(lookback).select(run)
+    past_runs = rows.where(F.col(run) != F.col("__current")).groupBy(run).agg(F.min(run_order).alias("__at")).join(start, F.col("__at") < F.col("__start")).orderBy(F.desc("__at")).limit(lookback).select(run)
     past = at.join(past_runs, run, "left_semi").select("prefix").distinct()
     found = now.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).join(past, "prefix", "left_anti")
     return found.join(past_runs.limit(1).select(F.lit(True).alias("__any")), F.lit(True), "left_semi")
@@ -130,7 +135,7 @@ def publish_reason(name: str = "course_name", level: str = "degree_level", score
     )
 
 
-def eligibility(df: DataFrame, least: int = 85) -> DataFrame:
+def eligibility(df: DataFrame, least: int = 75) -> DataFrame:
     """Rows of completeness() with blockers, warnings and struct verdict(status, reason).
 
     Name, level and English alone block. A row without a blocker goes to review only if its completeness is below least; else it is

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import header_key, is_blank, natural_key
+from gristmill.functions.text import header_key, is_blank, month_list, natural_key
 from gristmill.functions.values import deep_merge
 from gristmill.operators.rows import first_per
 
@@ -40,6 +40,56 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], required: S
     return checked.where("error = ''").drop("error"), checked.where("error <> ''")
 
 
+#: Headers of an import by their letters and digits, and the columns that they stand for.
+IMPORT_COLUMNS = {
+    "coursename": "course_name", "name": "course_name", "category": "category", "subcategory": "sub_category", "degreelevel": "degree_level", "level": "degree_level", "duration": "duration",
+    "durationterm": "duration_term", "studymode": "study_mode", "mode": "study_mode", "studyload": "study_load", "intakemonth": "intake_months", "intakemonths": "intake_months", "intake": "intake_months",
+    "internationalfee": "international_fee", "fee": "international_fee", "feeterm": "fee_term", "feeyear": "fee_year", "currency": "currency", "ieltsoverall": "ielts_overall",
+    "ieltslistening": "ielts_listening", "ieltsspeaking": "ielts_speaking", "ieltswriting": "ielts_writing", "ieltsreading": "ielts_reading", "pteoverall": "pte_overall",
+    "ptelistening": "pte_listening", "ptespeaking": "pte_speaking", "ptewriting": "pte_writing", "ptereading": "pte_reading", "toefloverall": "toefl_overall",
+    "academiclevel": "academic_level", "academicscore": "academic_score", "academiccountry": "academic_country", "scholarship": "scholarship", "coursewebsite": "course_website",
+    "website": "course_website", "url": "course_website", "courseurl": "course_website", "courselocation": "course_location", "location": "course_location", "campus": "course_location",
+    "description": "description", "otherrequirement": "other_requirement", "language": "language", "cricoscode": "cricos_code", "cricos": "cricos_code",
+}
+#: Columns of an import that hold numbers, whole numbers and lists of months; all others hold texts.
+IMPORT_NUMBERS = ("duration", "international_fee", "academic_score", *(f"{t}_{p}" for t in ("ielts", "pte") for p in ("overall", "listening", "speaking", "writing", "reading")), "toefl_overall")
+IMPORT_WHOLE, IMPORT_MONTHS = ("fee_year",), ("intake_months",)
+
+
+def typed_import(raw: DataFrame, synonyms: Mapping[str, str] = IMPORT_COLUMNS) -> DataFrame:
+    """raw's known columns under their names and with their types. Numbers are read from among other signs and null where none is left; months by whole or short names, unknown ones as they are; blank texts are null."""
+    rows = renamed(raw, synonyms)
+
+    def typed(name: str) -> Column:
+        text = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
+        number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+        if name in IMPORT_NUMBERS:
+            return number
+        if name in IMPORT_WHOLE:
+            return number.try_cast("int")
+        if name in IMPORT_MONTHS:
+            months = month_list(text)
+            return F.when(F.size(months) > 0, months)
+        return text
+
+    return rows.select(*[typed(c).alias(c) for c in rows.columns])
+
+
+def import_rows(raw: DataFrame, existing: DataFrame, owner: Column, order: Column, owner_col: str = "university_id", name: str = "course_name") -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of an import for the owners that owner gives: rows are typed and new; skipped ones carry a reason.
+
+    A row without a name is skipped ("missing_name"), so is one whose name, in any case, its owner has already ("exists") or has in an earlier row by order ("repeated").
+    """
+    placed = typed_import(raw.withColumn("__owner", owner).withColumn("__order", order), {**IMPORT_COLUMNS, "owner": owner_col, "order": "__order"})
+    keyed = placed.withColumn("__key", natural_key(name))
+    kept = existing.select(owner_col, natural_key(name).alias("__key"), F.lit(True).alias("__held")).distinct()
+    place = F.row_number().over(Window.partitionBy(owner_col, "__key").orderBy(F.col("__order").cast("double")))
+    told = keyed.join(kept, [owner_col, "__key"], "left").withColumn("__place", place)
+    reason = F.when(F.coalesce(F.col("__key"), F.lit("")) == "", "missing_name").when(F.col("__held"), "exists").when(F.col("__place") > 1, "repeated")
+    told = told.withColumn("reason", reason).drop("__key", "__held", "__place", "__order")
+    return told.where("reason IS NULL").drop("reason"), told.where("reason IS NOT NULL")
+
+
 def new_by_name(rows: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
     """rows whose name, in any case, neither exists nor occurs before among them."""
     keyed = rows.withColumn("__key", natural_key(name)).join(existing.select(natural_key(name).alias("__key")).distinct(), "__key", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.rows import upsert
@@ -46,44 +46,23 @@ def snapshot(df: DataFrame, path: str, at: Column) -> None:
     stamped.write.mode("append").partitionBy("backup_day").parquet(path)
 
 
-class Versioned:
-    """A Parquet table that is rewritten as a whole: each version has its own folder and a pointer names the current one.
+def refresh_view(df: DataFrame, view: str, folder: str) -> str:
+    """Writes df as a new table beneath folder and points the view at it; returns the table's path.
 
-    A reader never sees half a version, and a version that is being read is never overwritten.
+    A query that has begun on the view reads on from the table before, which is left in place: delete it when its readers are done. A
+    failed write leaves the view as it was.
     """
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    df.sparkSession.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{path}`")
+    return path
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _current(self) -> str | None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        names = self.spark.read.text(f"{self.path}/_current/*.txt").collect()  # one short line a version
-        return max((r[0] for r in names), default=None)
-
-    def read(self) -> DataFrame | None:
-        """The current version, or none before the first write."""
-        name = self._current()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name.split(' ')[1]}")
-
-    def write(self, df: DataFrame) -> None:
-        """Makes df the current version."""
-        before = self._current()
-        number = int(before.split(" ")[0]) + 1 if before else 1
-        name = f"version-{number:010d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{name}")
-        store = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current/{name}.txt")
-        fs = store.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        out = fs.create(store, False)
-        out.write(f"{number:010d} {name}".encode())
-        out.close()
-
-    def upsert(self, new: DataFrame, keys: Sequence[str], insert_only: bool = False, order: Sequence[Column] = ()) -> None:
-        """Puts rows in by key and makes the result the current version."""
-        old = self.read()
-        old = new.limit(0) if old is None else old
-        self.write(upsert(old, new, keys, insert_only, order))
+
+def upsert_view(new: DataFrame, view: str, folder: str, keys: Sequence[str], insert_only: bool = False, order: Sequence[Column] = ()) -> str:
+    """Puts rows in by key into what the view shows, and refreshes it; a view that is not there yet is made."""
+    spark = new.sparkSession
+    old = spark.table(view) if spark.catalog.tableExists(view) else new.limit(0)
+    return refresh_view(upsert(old, new, keys, insert_only, order), view, folder)
 
 
 def empty_like(df: DataFrame, **more: str) -> DataFrame:

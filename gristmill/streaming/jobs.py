@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill.functions.text import log_level
@@ -71,3 +71,50 @@ def breaker(events: DataFrame, key: str, ts: str = "ts", kind: str = "event_type
     kept = events.where(F.col(kind) == failed).select(key, ts).withWatermark(ts, late)
     kind_of = dict(events.dtypes)[key]
     return kept.groupBy(key).applyInPandasWithState(run, f"{key} {kind_of}, opened_at timestamp, open_until timestamp", "times array<long>, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Cache(StatefulProcessor):
+    """A key's value with the time that it expires at; a timer takes it out of the state when the watermark has passed that."""
+
+    def __init__(self, minutes: int) -> None:
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "value string, expires_at timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterable[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        value, until = self.held.get() if self.held.exists() else (None, None)
+        out, before = [], until
+        for ts, found in sorted((x.ts, x.value) for b in rows for x in b.itertuples()):
+            hit = until is not None and until > ts
+            if not hit:
+                # What is empty is not kept: the next one asks again.
+                value, until = (found, ts + pd.Timedelta(minutes=self.minutes)) if found else (None, None)
+            out.append((key[0], ts, hit, value if hit else found))
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(int(pd.Timestamp(before, tz="UTC").value // 1_000_000))
+            if until is None:
+                self.held.clear()
+            else:
+                self.held.update((value, until))
+                self.handle.registerTimer(int(pd.Timestamp(until, tz="UTC").value // 1_000_000))
+        yield pd.DataFrame(out, columns=["key", "ts", "hit", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[us]"), "hit": pd.Series([], dtype="bool"), "value": pd.Series([], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def cached_reads(reads: DataFrame, key: str, value: str, ts: str = "ts", minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Rows (key, ts, hit, value): whether a read finds its key's value, kept for so many minutes after the read that fetched it; a read that does not keeps its own.
+
+    Empty values are not kept. A kept value leaves the state when the watermark passes its end, so state holds the keys of that time only. The session needs the
+    RocksDB state store (spark.sql.streaming.stateStore.providerClass); rows later than the watermark are left out.
+    """
+    rows = reads.select(F.col(key).cast("string").alias("key"), F.coalesce(F.nullif(F.col(value).cast("string"), F.lit("")), F.lit("")).alias("value"), F.col(ts).alias("ts"))
+    grouped = rows.withWatermark("ts", late).groupBy("key")
+    return grouped.transformWithStateInPandas(_Cache(minutes), "key string, ts timestamp, hit boolean, value string", "Append", "EventTime")

@@ -135,3 +135,41 @@ def test_other_columns_pass(spark):
     got = {(r["page_id"], r["a.b"], tuple(r["text"] or ())) for r in html.extract(pages).where("field_key = 'course_name'").collect()}
     assert got == {(1, None, (1,)), (2, 5, ())}
     assert html.extract(pages.limit(0)).count() == 0 and html.parse(pages.limit(0)).count() == 0
+
+
+def test_fee_lines(spark):
+    text = (
+        "Fees 2026\nMaster of Law\nCampus: City\n\n$32,000 per year\nBachelor of Arts\nfull time\n3 years\nA$28,500\n"
+        "Diploma of Music — $9,900 per trimester\nabcd\n$1,500\nUSD 500 and AUD 41,000 per semester\nShort - A$12,000"
+    )
+    tail = "Diploma of Web: A$20,000 p.a."
+    df = spark.createDataFrame([(1, text, "x"), (2, tail, "y"), (3, None, "z"), (4, "$9,000\n$8,000", "w")], "doc_id long, text string, program string")
+    got = html.fee_lines(df.drop("program")).collect()
+    assert [(r.doc_id, r.program, r.amount, r.term) for r in got] == [
+        (1, "Campus: City", 32000.0, "Annual"), (1, "3 years", 28500.0, None), (1, "3 years", 9900.0, "Trimester"), (1, "$1,500", 41000.0, "Semester"), (1, "$1,500", 12000.0, "Semester"),
+        (2, "Diploma of Web", 20000.0, "Annual"),
+    ]
+    # One to three lines between a name and its price are looked back over, four are not.
+    for n, want in ((0, "Master of Law"), (1, "Master of Law"), (2, "Master of Law"), (3, None)):
+        one = spark.createDataFrame([(1, "\n".join(["Master of Law", *["$ab"] * n, "$30,000"]))], "doc_id long, text string")
+        assert [r.program for r in html.fee_lines(one).collect()] == ([want] if want else []), n
+
+
+def test_english_by_level(spark):
+    page = (
+        "<table><tr><th>Fees</th><th>x</th></tr><tr><td>a</td><td>b</td></tr></table><table><tr><th>Test</th><th>EAP 2</th><th>Bachelor and Postgraduate</th><th>Advanced Diploma</th></tr>"
+        "<tr><td>IELTS Academic</td><td>Overall 5.0</td><td>Overall 6.5, no band under 6</td><td>overall 5.5</td></tr><tr><td>PTE Academic</td><td>score of 36</td><td>Academic score of 58</td></tr>"
+        "<tr><td>TOEFL iBT</td><td>-</td><td>Total score of 79</td><td>score of 60</td></tr><tr><td>Other</td><td>score of 10</td><td>score of 11</td><td>score of 12</td></tr></table>"
+    )
+    no_levels = "<table><tr><th>Test</th><th>Score</th><th>Note</th></tr><tr><td>IELTS</td><td>Overall 6</td><td></td></tr></table>"
+    df = spark.createDataFrame([(1, "https://a.org/x", page), (2, "https://a.org/y", no_levels), (3, None, None)], "id int, url string, html string")
+    got = {(r.id, r.level, r.test): r.score for r in html.english_by_level(df).collect()}
+    want = {("ielts", 6.5), ("pte", 58.0), ("toefl", 79.0)}
+    assert got == {**{(1, level, t): s for level in (None, "postgraduate", "undergraduate") for t, s in want}, (1, "diploma", "ielts"): 5.5, (1, "diploma", "toefl"): 60.0}
+
+
+def test_coded_rows_year(spark):
+    row = "Master of Law 012345A $1,000 $20,000 $40,000\nMaster of Art 012345B $1,000 $20,000 $20,000\n"
+    texts = ["Tuition fees 2026\n" + row, "2027 international fees\n" + row, "Fees\n2026\n" + row, row]
+    got = html.coded_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.year) for r in got} == {(0, 2026), (1, 2027), (2, None), (3, None)}

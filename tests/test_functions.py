@@ -159,7 +159,7 @@ def test_eligibility(spark):
         ("review", "Publish blocked: degree_level"),
         ("review", "Publish blocked: english_test"),
         ("ready", "ok"),
-        ("review", "Missing: duration | Warnings: completeness 50% < 85%"),
+        ("review", "Missing: duration | Warnings: completeness 50% < 75%"),
     ]
 
 

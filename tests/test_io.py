@@ -41,13 +41,25 @@ def test_snapshots(spark, tmp_path):
     assert [r.v for r in readers.read_snapshots(spark, str(tmp_path), "slug string, university_id int, v int").collect()] == [2]
 
 
-def test_versions_and_partitions(spark, tmp_path):
-    t = writers.Versioned(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
-    t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    t.upsert(spark.createDataFrame([(3, "e"), (4, "f")], "k int, v string"), ["k"], insert_only=True)
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d"), (4, "f")]
+def test_view_refresh(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame(rows, "k int, v string")
+    spark.sql("DROP VIEW IF EXISTS held_rows")
+    first = writers.upsert_view(made((1, "a"), (2, "b")), "held_rows", str(tmp_path / "t"), ["k"])
+    reader = spark.table("held_rows")
+    assert sorted(map(tuple, reader.collect())) == [(1, "a"), (2, "b")]
+    writers.upsert_view(made((2, "c"), (3, "d")), "held_rows", str(tmp_path / "t"), ["k"])
+    # Who has begun on the view before reads what it was; who begins now, what it is.
+    assert sorted(map(tuple, reader.collect())) == sorted(map(tuple, spark.read.parquet(first).collect())) == [(1, "a"), (2, "b")]
+    writers.upsert_view(made((3, "e"), (4, "f")), "held_rows", str(tmp_path / "t"), ["k"], insert_only=True)
+    want = [(1, "a"), (2, "c"), (3, "d"), (4, "f")]
+    assert sorted(map(tuple, spark.table("held_rows").collect())) == want
+    with pytest.raises(Exception):
+        writers.refresh_view(made((1, "a")).selectExpr("k", "raise_error('no') AS v"), "held_rows", str(tmp_path / "t"))
+    assert sorted(map(tuple, spark.table("held_rows").collect())) == want
+    spark.sql("DROP VIEW held_rows")
+
+
+def test_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     for rows in ([(1, "a"), (2, "b")], [(2, "c")], [(2, "c")]):
         writers.replace_partitions(spark.createDataFrame(rows, "run int, v string"), path, ["run"])
@@ -112,3 +124,66 @@ def test_failure_windows(spark, tmp_path):
     stream = _stream(spark, tmp_path, [(1, "error", base + dt.timedelta(seconds=s), 1.0) for s in (0, 10, 70)])
     got = _all(jobs.failure_counts(stream), spark, tmp_path, "failures", "complete")
     assert sorted((r.start, r.failures) for r in got) == [(base, 2), (base + dt.timedelta(minutes=1), 1)]
+
+
+def test_typed_import(spark):
+    header = "`Course Name` string, `Duration (x)` string, Duration string, `INTL` string, `Fee` string, `Fee Year` string, `Intake Months` string, `IELTS Overall` string, Campus string, University string, Line int"
+    rows = [
+        ("Law", "x", "3 years", "x", "A$32,000", "2026", "Feb; Jul/xyz | feb", "6.5", " City ", "u1", 3),
+        (" LAW ", None, "-", None, "n/a", "2026.0", "", "", "", "u1", 5),
+        ("law", None, "1.5", None, "", None, None, None, None, "u1", 1),
+        ("law", None, "1", None, "1", None, ", ;", None, None, "u2", 2),
+        ("Old", None, None, None, None, None, None, None, None, "u1", 4),
+        ("  ", None, None, None, None, None, None, None, None, "u1", 6),
+        ("1.2.3", None, "1.2.3", None, "$", None, "Sept", None, None, "u1", 7),
+    ]
+    raw = spark.createDataFrame(rows, header)
+    existing = spark.createDataFrame([("u1", "OLD "), ("u2", None)], "university_id string, course_name string")
+    good, bad = readers.import_rows(raw, existing, F.col("University"), F.col("Line"))
+    assert dict(good.dtypes)["duration"] == "double" and dict(good.dtypes)["fee_year"] == "int" and dict(good.dtypes)["intake_months"] == "array<string>"
+    got = {(r.university_id, r.course_name): (r.duration, r.international_fee, r.fee_year, r.intake_months, r.ielts_overall, r.course_location) for r in good.collect()}
+    assert got == {("u1", "law"): (1.5, None, None, None, None, None), ("u2", "law"): (1.0, 1.0, None, None, None, None), ("u1", "1.2.3"): (None, None, None, ["September"], None, None)}
+    assert sorted((r.reason, r.course_name or "") for r in bad.collect()) == [("exists", "Old"), ("missing_name", ""), ("repeated", "LAW"), ("repeated", "Law")]
+    law = readers.typed_import(raw).where("course_name = 'Law'").first()
+    assert (law.duration, law.international_fee, law.fee_year, law.intake_months, law.course_location) == (3.0, 32000.0, 2026, ["February", "July", "xyz"], "City")
+
+
+def test_cached_reads_expire_over_a_restart(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    at = lambda m: base + dt.timedelta(minutes=m)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "url string, body string, ts timestamp"
+    steps = [[("a", "one", at(0)), ("a", "two", at(20)), ("b", None, at(1)), ("b", "x", at(2))], [("a", "three", at(50)), ("c", "late", at(95))], [("a", "four", at(100)), ("a", "five", at(101)), ("b", "y", at(200))]]
+    try:
+        for n, rows in enumerate(steps):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+            # Each step is a query of its own that goes on from the checkpoint.
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+            out = jobs.cached_reads(stream, "url", "body")
+            out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {(r.key, r.ts): (r.hit, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {
+        ("a", at(0)): (False, "one"), ("a", at(20)): (True, "one"), ("b", at(1)): (False, ""), ("b", at(2)): (False, "x"), ("a", at(50)): (True, "one"), ("c", at(95)): (False, "late"),
+        ("a", at(100)): (False, "four"), ("a", at(101)): (True, "four"), ("b", at(200)): (False, "y"),
+    }
+
+
+def test_quiet_jobs_and_daily_spend(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, "beat", base + dt.timedelta(minutes=m), 1.5) for m in (0, 2, 4, 30)] + [(1, "beat", base + dt.timedelta(days=3), 2.0)]
+    stream = _stream(spark, tmp_path, rows)
+    got = _all(jobs.quiet_jobs(stream, "user_id"), spark, tmp_path, "quiet")
+    assert sorted((r.first_beat, r.silent_at, r.beats) for r in got) == [(base, base + dt.timedelta(minutes=9), 3), (base + dt.timedelta(minutes=30), base + dt.timedelta(minutes=35), 1)]
+
+
+def test_daily_spend_and_unique_events(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    stream = _stream(spark, tmp_path, [(1, "a", base, 1.5), (1, "b", base + dt.timedelta(hours=5), 2.0), (2, "a", base + dt.timedelta(days=1), 4.0)])
+    got = _all(jobs.daily_spend(stream), spark, tmp_path, "spend", "complete")
+    assert sorted((r.day, r.spent) for r in got) == [(base.date(), 3.5), (base.date() + dt.timedelta(days=1), 4.0)]
+    once = spark.readStream.schema(stream.schema).parquet(str(tmp_path / "in"))
+    once.transform(lambda d: jobs.unique_events(d, "user_id")).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.user_id for r in spark.table("once").collect()) == [1, 2]
