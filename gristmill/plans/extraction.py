@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import domain, html
+from gristmill.operators import durations
 from gristmill.plans.registry import Tables, plan
 
 #: A small rule table; a catalogue has its own.
@@ -99,3 +100,16 @@ def ex_19_amounts(t: Tables) -> DataFrame:
     said = F.concat(F.lit("From $10,000 to $"), (F.lit(10000) + 1000 * F.col("p_size")).cast("string"), F.lit("."))
     found = domain.document_amounts(said)
     return t.part.select("p_partkey", found["amount"].alias("amount"), found["term"].alias("term"))
+
+
+@plan("""WITH s AS (SELECT p_partkey, p_size, CASE WHEN p_name LIKE '%bolt' THEN 3 WHEN p_size > 40 THEN 1 ELSE 2 END AS kind FROM part)
+SELECT p_partkey, CAST(CASE kind WHEN 3 THEN 12 + p_size % 12 WHEN 1 THEN p_size ELSE least(p_size, 12) END AS DOUBLE) AS amount, CASE WHEN kind = 3 OR kind = 1 THEN 'Month' WHEN p_size BETWEEN 5 AND 10 THEN 'Month' ELSE 'Year' END AS unit
+FROM s WHERE kind <> 2 OR p_size BETWEEN 1 AND 12""")
+def ex_11_durations(t: Tables) -> DataFrame:
+    """The length that a text about each part names: a label against a longer plain span, years with months, and years that are meant as months."""
+    size = F.col("p_size").cast("string")
+    label = F.concat(F.lit("Founded 90 years ago. Duration: "), size, F.lit(" months. The course takes 3 years."))
+    years = F.concat(F.lit("The course takes "), size, F.lit(" years! It is open for 12 years of schooling.\nMost complete it, full-time or not, over "), F.when(F.col("p_size").between(5, 10), size).otherwise("0"), F.lit(" months."))
+    both = F.concat(F.lit("The degree takes 1 year and "), (F.col("p_size") % 12).cast("string"), F.lit(" months. A placement of 40 weeks is part of it."))
+    text = F.when(F.col("p_name").endswith("bolt"), both).when(F.col("p_size") > 40, label).otherwise(years)
+    return durations.durations(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
