@@ -232,12 +232,15 @@ def scored(findings: DataFrame, forest: list[Tree], threshold: float = THRESHOLD
 
 
 def mask_secrets(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, rows and columns alike, with each secret in text_col replaced by MASK; the name that it is assigned to stays. Null texts stay null, others are searched whole."""
+    """docs, rows and columns alike, with each secret in text_col replaced by MASK; the name that it is assigned to stays. Null texts stay null, others are searched whole. Other columns pass as they are, whatever their names."""
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     text = F.col(f"`{text_col}`")
-    rows = _with_findings(docs, text, _path(docs, path_col))
+    # The caller's columns travel in one struct, so that none is taken for one of these steps.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), _path(docs, path_col).alias("path"))
+    rows = _with_findings(whole, F.col("text"), F.col("path"))
     measured = F.transform("__found", lambda x: F.struct(F.length(x["candidate"]).alias("n"), *[v.alias(k) for k, v in features(lambda k: x[k]).items()]))
     voted = F.transform(measured, lambda x: F.struct(x["n"].alias("n"), (_mean(forest, lambda k: x[k]) >= threshold).alias("is_secret")))
     parts = F.zip_with("__m", voted, lambda m, x: F.when(x["is_secret"], F.concat(F.left(m, F.length(m) - x["n"]), F.lit(MASK))).otherwise(m))
     masked = F.array_join(F.zip_with("__gap", parts, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    return rows.withColumn(text_col, F.when(F.size("__m") > 0, masked).otherwise(text)).select([F.col(f"`{c}`") for c in docs.columns])
+    told = rows.select("row", F.when(F.size("__m") > 0, masked).otherwise(F.col("text")).alias("text"))
+    return told.select([F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
