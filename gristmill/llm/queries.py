@@ -106,4 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others cannot be said in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op11_importance": oracles.IMPORTANCE, "op13_spelling": oracles.SPELLING}
+ORACLE: dict[str, str] = {"op2_embeddings": oracles.EMBEDDINGS, "op11_importance": oracles.IMPORTANCE, "op13_spelling": oracles.SPELLING}
