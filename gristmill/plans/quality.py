@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import first_match
 from gristmill.operators import quality as q
+from gristmill.operators import reports
 from gristmill.operators import rows as r
 from gristmill.plans.joins import _DIFF, changed_orders
 from gristmill.plans.registry import Tables, plan
@@ -210,3 +211,32 @@ def qa_26_liveness(t: Tables) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "signup", "queued").otherwise("completed")
     jobs = t.events.select("event_id", status.alias("status"), F.lit(None).cast("timestamp").alias("heartbeat_at"), F.col("ts").alias("started_at"), F.col("ts").alias("created_at"))
     return q.liveness(jobs, F.lit("2024-01-30 12:00:00").cast("timestamp")).select("event_id", "state")
+
+
+@plan("""WITH e AS (SELECT date_trunc('month', o_orderdate) AS run, * FROM orders), s AS (SELECT run, count(*) AS total FROM e WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+f AS (SELECT run, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'a' WHEN '2-HIGH' THEN 'b' END AS field FROM e WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000),
+k AS (SELECT run, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS dom, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS http, count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')) AS other FROM e WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT e.run, CAST(count(*) AS BIGINT) AS discovered, coalesce(any_value(k.dom), 0) AS skipped_domestic_only, greatest(coalesce(any_value(k.http), 0), count(*) FILTER (WHERE o_totalprice < 5000)) AS skipped_fetch_failed, coalesce(any_value(k.other), 0) AS skipped_other,
+round(CASE WHEN any_value(s.total) > 0 THEN least(1.0, (SELECT count(*) FROM f WHERE f.run = e.run AND field = 'a')::DOUBLE / any_value(s.total)) END, 3) AS fill_a, round(CASE WHEN any_value(s.total) > 0 THEN least(1.0, (SELECT count(*) FROM f WHERE f.run = e.run AND field = 'b')::DOUBLE / any_value(s.total)) END, 3) AS fill_b,
+CAST(count(*) AS BIGINT) AS calls, round(sum(o_custkey) / 64.0, 6) AS cost FROM e LEFT JOIN s ON s.run = e.run LEFT JOIN k ON k.run = e.run GROUP BY e.run""")
+def qa_02_run_summary(t: Tables) -> DataFrame:
+    """A month of orders as a run: its orders are courses, their priorities fields and reasons."""
+    e = t.orders.withColumn("run", F.date_trunc("month", "o_orderdate"))
+    jobs = e.groupBy("run").agg(F.count(F.lit(1)).alias("discovered"), F.lit(0).alias("staged"), F.lit(0).alias("skipped"), F.count_if(F.col("o_totalprice") < 5000).alias("fetch_errors"))
+    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "domestic").when(F.col("o_orderpriority") == "5-LOW", "HTTP 500").otherwise(F.col("o_orderpriority"))
+    skips = e.where("o_orderstatus = 'P'").groupBy("run", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    courses = e.select("run", F.col("o_orderkey").alias("course"), F.when(F.col("o_orderstatus") == "F", "pending").when(F.col("o_orderstatus") == "O", "review_ready").otherwise("rejected").alias("status"))
+    field = F.when(F.col("o_orderpriority") == "1-URGENT", "a").when(F.col("o_orderpriority") == "2-HIGH", "b")
+    evidence = e.select(F.col("o_orderkey").alias("course"), field.alias("field"), F.col("o_orderstatus").alias("method"), (F.col("o_totalprice") > 100000).alias("selected"))
+    out = reports.run_summary(jobs, skips, courses, evidence, e.select("run", (F.col("o_custkey") / 64).alias("cost")), ["a", "b"])
+    return out.select("run", "discovered", "skipped_domestic_only", "skipped_fetch_failed", "skipped_other", "fill_a", "fill_b", "calls", "cost")
+
+
+_FOUND = """i AS (SELECT p_partkey AS id, unnest(list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'critical' END, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 11 <> 0 THEN 'critical' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN 'critical' END], lambda x: x IS NOT NULL)) AS severity FROM part WHERE p_size <= 40)"""
+
+
+@plan(f"WITH {_FOUND} SELECT count(*) AS critical FROM i")
+def qa_11_report(t: Tables) -> DataFrame:
+    """Critical issues of staged rows; those that only take domestic students do not count."""
+    rows = _staged(t).join(t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") > 40).alias("domestic_only")), "id")
+    return reports.issue_counts(reports.quality_issues(rows, "id")).select("critical")
