@@ -12,26 +12,28 @@ from gristmill.operators.rows import first_per
 #: A unit's weeks and rank, the largest amount that is believed, and the largest one in a plain span.
 UNITS = {"Year": (52, 4, 10, 12), "Semester": (20, 3, 24, 24), "Trimester": (14, 3, 36, 36), "Month": (4, 2, 96, 96), "Week": (1, 1, 416, 416)}
 #: What a sentence may be about, besides the program's length.
-ACCELERATED = r"\b(accelerat(ed|ion)|fast[- ]?track|condensed|intensive\s+(mode|stream|study)|advanced\s+standing|recognition\s+of\s+prior\s+learning|RPL|credit\s+for\s+previous\s+study)\b"
-CREDIT = r"\b(credit\s+points?|cp\b|subjects?\s+(per|of)|units?\s+(per|of)|per\s+(trimester|semester|term))\b"
+ACCELERATED = r"\b(accelerat(?:ed|ion)|fast[- ]?track|condensed|intensive\s+(?:mode|stream|study)|advanced\s+standing|recognition\s+of\s+prior\s+learning|RPL|credit\s+for\s+previous\s+study)\b"
+CREDIT = r"\b(credit\s+points?|cp\b|subjects?\s+(?:per|of)|units?\s+(?:per|of)|per\s+(?:trimester|semester|term))\b"
 ABOUT = (
     r"\b(course|programme?|degree|study|studies|complete|completion|duration|length|full[- ]?time|part[- ]?time|fulltime|parttime|qualification|enrolment|enrol|takes|lasting|over\s+\d|spread\s+over)\b"
 )
 NOT_ABOUT = (
-    r"\b(experience|established|founded|since\s+(19|20)\d{2}|anniversar(y|ies)|celebrat(e|ing|ion|ed)|partnership|history|track\s+record|over\s+a\s+decade|years?\s+of\s+industry|previous\s+to|year\s+of\s+application"
-    r"|year\s+of\s+enrol(lment)?|within\s+the\s+(last|past)|in\s+the\s+(last|past)|(no\s+more\s+than|not\s+more\s+than|at\s+least)\s+\d+\s+years?\s+(prior|before|ago)|over\s+\d+\s+years?\s+(of|in|as)"
-    r"|(received|awarded|granted|obtained)\s+within|within\s+\d+\s+years?\s+of\s+(commencement|commencing|enrol(ment|ling)?|starting|graduation|admission|candidature|award)"
-    r"|complet(e|ed|ing|ion)(\s+\w+){0,4}\s+within\s+\d+\s+years?|year\s+12\b|\d+\s+years?\s+of\s+(schooling|secondary|high\s?school|education)|equivalent\s+to\s+year\s+\d+|completed?\s+year\s+\d+)\b"
+    r"\b(experience|established|founded|since\s+(?:19|20)\d{2}|anniversar(?:y|ies)|celebrat(?:e|ing|ion|ed)|partnership|history|track\s+record|over\s+a\s+decade|years?\s+of\s+industry|previous\s+to|year\s+of\s+application"
+    r"|year\s+of\s+enrol(?:lment)?|within\s+the\s+(?:last|past)|in\s+the\s+(?:last|past)|(?:no\s+more\s+than|not\s+more\s+than|at\s+least)\s+\d+\s+years?\s+(?:prior|before|ago)|over\s+\d+\s+years?\s+(?:of|in|as)"
+    r"|received\s+within|awarded\s+within|granted\s+within|obtained\s+within|within\s+\d+\s+years?\s+of\s+(?:commencement|commencing|enrol(?:ment|ling)?|starting|graduation|admission|candidature|award)"
+    r"|complet(?:e|ed|ing|ion)(?:\s+\w+){0,4}\s+within\s+\d+\s+years?|year\s+12\b|\d+\s+years?\s+of\s+(?:schooling|secondary|high\s?school|education)|equivalent\s+to\s+year\s+\d+|completed?\s+year\s+\d+)\b"
 )
 LIMIT = (
-    r"\b(maximum\s+(candidature|completion(\s+time)?|time|period)|max(\.|imum)?\s+(candidature|completion|time)|part[- ]?time\s+equivalent|research\s+period|thesis\s+(submission|completion)"
-    r"|minimum\s+(candidature|time)|maximum\s+enrolment)\b"
+    r"\b(?:maximum\s+(?:candidature|completion(?:\s+time)?|time|period)|max(?:\.|imum)?\s+(?:candidature|completion|time)|part[- ]?time\s+equivalent|research\s+period|thesis\s+(?:submission|completion)"
+    r"|minimum\s+(?:candidature|time)|maximum\s+enrolment)\b"
 )
 PLACEMENT = (
-    r"\b(placement|practicum|prac\b|professional\s+experience|field\s+(placement|experience|work)|work\s+(placement|experience)|clinical\s+(placement|experience|practice)|teaching\s+(placement|practice|rounds?)"
-    r"|industry\s+placement|internship\s+(hours?|days?|weeks?))\b"
+    r"\b(?:placement|practicum|prac\b|professional\s+experience|field\s+(?:placement|experience|work)|work\s+(?:placement|experience)|clinical\s+(?:placement|experience|practice)|teaching\s+(?:placement|practice|rounds?)"
+    r"|industry\s+placement|internship\s+(?:hours?|days?|weeks?))\b"
+)
+COMBINED = (
+    r"\b(?:add[- ]on|combined\s+degree|combined\s+program(?:me)?|double\s+degree|joint\s+degree|dual\s+degree|conjoint|bachelor[- ]?of[- ]?laws\s+combined|satac\s+code\b|as\s+part\s+of\s+(?:the\s+)?(?:combined|double|dual|joint))\b"
 )
-COMBINED = r"\b(add[- ]on|combined\s+degree|combined\s+program(me)?|double\s+degree|joint\s+degree|dual\s+degree|conjoint|bachelor[- ]?of[- ]?laws\s+combined|satac\s+code\b|as\s+part\s+of\s+(the\s+)?(combined|double|dual|joint))\b"
 LABELS = r"course\s*duration|duration|course\s*length|program\s*length|study\s*duration|full[- ]?time\s*duration"
 
 _AMOUNT = r"(\d+(?:\.\d+)?)\s*(years?|yrs?|months?|weeks?|trimesters?|semesters?)"
