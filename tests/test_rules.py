@@ -42,12 +42,12 @@ def test_categories_equal_loops(spark):
 def test_session_months_and_blocked(spark):
     pages = spark.createDataFrame(
         [
-            (1, "www.uow.edu.au", "Autumn session and SPRING Session"), (2, "uow.edu.au.evil.org", "Autumn session"), (3, "b.ac.nz", "Semester 1; autumn session"),
-            (4, "uow.edu.au", "autumn sessions"), (5, None, "autumn session"), (6, "UOW.edu.au", None),
+            (1, "www.a.edu.au", "Autumn session and SPRING Session"), (2, "a.edu.au.evil.org", "Autumn session"), (3, "b.ac.nz", "Semester 1; autumn session"),
+            (4, "a.edu.au", "autumn sessions"), (5, None, "autumn session"), (6, "A.edu.au", None),
         ],
         "page int, host string, phrase_text string",
     )
-    table = spark.createDataFrame([("uow.edu.au", "spring session", "July", 7), ("uow.edu.au", "autumn session", "March", 3), ("ac.nz", "semester 1", "February", 2)], "host_ending string, phrase string, month string, month_number int")
+    table = spark.createDataFrame([("a.edu.au", "spring session", "July", 7), ("a.edu.au", "autumn session", "March", 3), ("ac.nz", "semester 1", "February", 2)], "host_ending string, phrase string, month string, month_number int")
     got = {r.page: r.months for r in rules.session_months(pages, table, "page", "host", "phrase_text").collect()}
     assert got == {1: ["March", "July"], 3: ["February"]}
     urls = [
