@@ -91,11 +91,12 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def in_request_order(df: DataFrame, key: str, ids: Sequence, most: int | None = None) -> DataFrame:
-    """df's rows for the ids, in their order; ids that are no numbers are passed over."""
+def in_request_order(df: DataFrame, key: str, ids: Sequence, most: int | None = None, position: str | None = None) -> DataFrame:
+    """df's rows for the ids, in their order, with their place from 0 as position if that is named; ids that are no numbers are passed over."""
     good = [int(x) for x in ids if str(x).strip().lstrip("-").isdigit()][:most]
-    wanted = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(good))], "pos int, wanted long")
-    return df.join(wanted, F.col(key) == F.col("wanted")).orderBy("pos").drop("pos", "wanted")
+    wanted = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(good))], "__pos int, __wanted long")
+    found = df.join(wanted, F.col(key) == F.col("__wanted")).orderBy("__pos").drop("__wanted")
+    return found.withColumnRenamed("__pos", position) if position else found.drop("__pos")
 
 
 def facet(df: DataFrame, array: str) -> DataFrame:

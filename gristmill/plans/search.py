@@ -59,8 +59,7 @@ def fil_03_text_rank(t: Tables) -> DataFrame:
 
 @plan("""SELECT p.p_partkey, p.p_name, w.pos FROM (VALUES (0, 7), (1, 3), (2, 11)) w(pos, id) JOIN part p ON p.p_partkey = w.id""")
 def joi_21_compare(t: Tables) -> DataFrame:
-    found = in_request_order(t.part, "p_partkey", ["7", "x", "3", "11"], most=5)
-    return found.select("p_partkey", "p_name", F.expr("CASE p_partkey WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 2 END").alias("pos"))
+    return in_request_order(t.part, "p_partkey", ["7", "x", "3", "11"], most=5, position="pos").select("p_partkey", "p_name", "pos")
 
 
 @plan("""SELECT DISTINCT p_type, p_brand FROM part WHERE p_type <> 'PROMO'""")

@@ -37,7 +37,7 @@ def snk_01_csv_rows(t: Tables) -> DataFrame:
 
 @plan("""SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' AS j FROM events""")
 def snk_02_json_rows(t: Tables) -> DataFrame:
-    return t.events.select(F.to_json(F.struct("event_id", "ts"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}).alias("j"))
+    return writers.json_rows(t.events.select("event_id", "ts"))
 
 
 @plan("""SELECT c_custkey, 'old' AS v FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0""")
@@ -61,7 +61,7 @@ def snk_05_replace(t: Tables) -> DataFrame:
 
 @plan("SELECT r_regionkey, r_name, TIMESTAMP '2024-01-01' AS backed_up_at FROM region")
 def snk_06_snapshot(t: Tables) -> DataFrame:
-    return t.region.withColumn("backed_up_at", F.lit("2024-01-01").cast("timestamp"))
+    return writers.stamped(t.region, F.lit("2024-01-01")).select("r_regionkey", "r_name", "backed_up_at")
 
 
 @plan("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + (SELECT count(*) FROM events e WHERE e.user_id = events.user_id AND event_type = 'click') AS sequence FROM events")

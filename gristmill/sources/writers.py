@@ -29,10 +29,22 @@ def export_csv(df: DataFrame, path: str) -> None:
     flat_for_csv(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+#: Times in ISO form; nulls are written.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "ignoreNullFields": "false"}
+
+
+def _json_ready(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{n}`").cast("double").alias(n) if k.startswith("decimal") else F.col(f"`{n}`") for n, k in df.dtypes]
+
+
+def json_rows(df: DataFrame, name: str = "j") -> DataFrame:
+    """df's rows as one column of JSON, as export_json writes them."""
+    return df.select(F.to_json(F.struct(*_json_ready(df)), JSON_OPTIONS).alias(name))
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """JSON lines; decimals as numbers, times in ISO form."""
-    cast = [F.col(n).cast("double").alias(n) if k.startswith("decimal") else F.col(n) for n, k in df.dtypes]
-    df.select(*cast).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").option("ignoreNullFields", False).json(path)
+    df.select(*_json_ready(df)).write.mode("overwrite").options(**JSON_OPTIONS).json(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -40,10 +52,14 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def stamped(df: DataFrame, at: Column) -> DataFrame:
+    """df with the time that it was backed up at, and its day."""
+    return df.withColumn("backed_up_at", at.cast("timestamp")).withColumn("backup_day", F.to_date("backed_up_at"))
+
+
 def snapshot(df: DataFrame, path: str, at: Column) -> None:
     """Appends all rows with the time they were backed up at, by day."""
-    stamped = df.withColumn("backed_up_at", at.cast("timestamp")).withColumn("backup_day", F.to_date("backed_up_at"))
-    stamped.write.mode("append").partitionBy("backup_day").parquet(path)
+    stamped(df, at).write.mode("append").partitionBy("backup_day").parquet(path)
 
 
 def refresh_view(df: DataFrame, view: str, folder: str) -> str:
