@@ -102,6 +102,19 @@ def ex_19_amounts(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", found["amount"].alias("amount"), found["term"].alias("term"))
 
 
+@plan("""WITH t AS (SELECT p_partkey, p_type, 20000 + 100 * p_size AS a, 20000 + 100 * length(p_name) AS b FROM part)
+SELECT p_partkey, CASE WHEN a <> b THEN CAST(greatest(a, b) AS DOUBLE) END AS amount, CASE WHEN a <> b THEN CASE WHEN p_type = 'LARGE' THEN 'Full Course' WHEN p_type IN ('SMALL', 'PROMO') THEN 'Per Unit' ELSE 'Annual' END END AS term,
+CASE WHEN a <> b THEN 2000 + length(p_type) END AS year FROM t""")
+def ex_19_terms(t: Tables) -> DataFrame:
+    """Two near amounts, a deposit and a price that are out of bounds, and words that tell the term."""
+    kind = F.when(F.col("p_type") == "LARGE", "for the full  course").when(F.col("p_type").isin("SMALL", "PROMO"), "per unit").otherwise("a year")
+    number = lambda n: F.format_number(20_000 + 100 * n, 0)
+    year = (2000 + F.length("p_type")).cast("string")
+    said = F.concat(F.lit("Fees "), year, F.lit(" and 2099: deposit $1,000, $ "), number(F.col("p_size")), F.lit(".40, or $"), number(F.length("p_name")), F.lit(" "), kind, F.lit("; a campus for $999,999,000."))
+    found = domain.document_amounts(said)
+    return t.part.select("p_partkey", found["amount"].alias("amount"), found["term"].alias("term"), found["year"].alias("year"))
+
+
 @plan("""WITH s AS (SELECT p_partkey, p_size, CASE WHEN p_name LIKE '%bolt' THEN 3 WHEN p_size > 40 THEN 1 ELSE 2 END AS kind FROM part)
 SELECT p_partkey, CAST(CASE kind WHEN 3 THEN 12 + p_size % 12 WHEN 1 THEN p_size ELSE least(p_size, 12) END AS DOUBLE) AS amount, CASE WHEN kind = 3 OR kind = 1 THEN 'Month' WHEN p_size BETWEEN 5 AND 10 THEN 'Month' ELSE 'Year' END AS unit
 FROM s WHERE kind <> 2 OR p_size BETWEEN 1 AND 12""")
