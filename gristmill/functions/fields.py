@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from gristmill.functions.scores import ANY_TEST, NUMBER, TESTS, Test, scores
 from gristmill.functions.text import MONTHS
 
 Found = tuple[str, str, float, str]
@@ -105,64 +106,6 @@ def fee(p: Parts) -> tuple[list[Found], str | None]:
     return out, context
 
 
-class Test(NamedTuple):
-    key: str
-    names: str
-    low: float
-    high: float
-
-
-#: Tests, what they are called, and the overall scores that they give (of TOEFL, those that stand without its form).
-TESTS = (Test("ielts", r"\bielts(?:\s+academic)?", 4, 9), Test("toefl", r"\btoefl(?:\s*ibt)?", 30, 120), Test("cambridge", r"\b(?:cae|c1\s+advanced|cambridge)\b", 140, 230), Test("duolingo", r"\b(?:duolingo|det)\b", 50, 160), Test("pte", r"\bpte(?:\s+academic)?", 10, 90))
-ANY_TEST = re.compile("|".join(f"(?P<{t.key}>{t.names})" for t in TESTS), re.I)
-SKILLS = ("listening", "reading", "writing", "speaking")
-_SKILL, _NUMBER = "|".join(SKILLS), r"(?<![\d.,])(\d{1,3}(?:\.\d)?)(?![\d%])"
-_FLOOR = re.compile(rf"no\s+(?:\w+\s+){{0,2}}?(?:band|skill|score|sub-?\s?score|component|section)s?\s+(?:score\s+)?(?:is\s+)?(?:below|less\s+than|lower\s+than|under)\s+{_NUMBER}|{_NUMBER}\s+(?:or\s+\w+\s+)?in\s+(?:each|all|every)\b|minimum\s+of\s+{_NUMBER}\s+(?:for|per)\s+(?:each|band|skill)", re.I)
-_GROUP = re.compile(rf"{_NUMBER}\s+(?:or\s+\w+\s+)?(?:for|in)\s+((?:{_SKILL})(?:(?:\s*,\s*and\s+|\s*,\s*|\s+and\s+|\s*/\s*)(?:{_SKILL}))*)\b", re.I)
-_NAMED = re.compile(rf"\b({_SKILL})[\s:\-–(]*{_NUMBER}", re.I)
-_ROW = re.compile(rf"[\s|]*{_NUMBER}[\s|]+{_NUMBER}(?=[\s|]|$)")
-
-
-def _one_test(text: str, m: re.Match, start: int, end: int) -> dict[str, tuple[float, float, str]]:
-    """What is said of a test at the place m of its name: scores by part, looking from start to end."""
-    test = next(t for t in TESTS if t.key == m.lastgroup)
-    before, after = text[start : m.start()], text[m.end() : end]
-    bands: dict[str, tuple[float, float, str]] = {}
-    valid = lambda v: test.low <= v <= test.high if test.key == "ielts" else 0 < v <= test.high
-    taken = []
-    for g in _GROUP.finditer(after):
-        taken.append(g.span())
-        for s in re.findall(_SKILL, g[2].lower()):
-            if valid(float(g[1])):
-                bands.setdefault(s, (float(g[1]), 0.8, "english.split"))
-    for g in _NAMED.finditer(after):
-        if not any(a <= g.start() < b for a, b in taken) and valid(float(g[2])):
-            bands.setdefault(g[1].lower(), (float(g[2]), 0.8, "english.bands"))
-            taken.append(g.span())
-    floor = None
-    for side in (after, before):
-        if g := _FLOOR.search(side):
-            floor = float(next(x for x in g.groups() if x))
-            taken += [g.span()] if side is after else []
-            break
-    overall = None
-    for g in re.finditer(_NUMBER, after):
-        told = g.start() <= 60 or re.search(r"overall[^0-9]{0,20}$", after[: g.start()], re.I)
-        if told and test.low <= float(g[1]) <= test.high and not any(a <= g.start() < b for a, b in taken):
-            overall = (float(g[1]), 0.85, "english.after")
-            break
-    if overall is None and (g := re.search(rf"{_NUMBER}\s+(?:overall\s+)?(?:in|on|for)\s+(?:the\s+|an?\s+)?$", before, re.I)) and test.low <= float(g[1]) <= test.high:
-        overall = (float(g[1]), 0.75, "english.before")
-    if overall is None:
-        return {}
-    if floor is None and (g := _ROW.match(after)) and test.key in ("ielts", "pte", "toefl") and float(g[2]) <= float(g[1]) == overall[0]:
-        floor = float(g[2])
-    if floor is not None and valid(floor) and floor <= overall[0]:
-        for s in SKILLS:
-            bands.setdefault(s, (floor, 0.8, "english.floor"))
-    return {"overall": overall, **bands}
-
-
 #: How far a column of a table for several levels of study is preferred.
 LEVELS = ((r"\bpostgraduate\b|\bmaster|\bmba\b", 5), (r"\bbachelor", 4), (r"\bdiploma\b", 3), (r"\bassociate\b|\beap\s*2\b|\bfoundation\s*2\b", 2), (r"\bfoundation\b|\beap\b|\benglish\s+for\s+academic\b", 1))
 
@@ -177,7 +120,7 @@ def _test_of(cell: str) -> Test | None:
 
 
 def _score(test: Test, cell: str) -> float | None:
-    return next((float(x) for x in re.findall(_NUMBER, cell) if test.low <= float(x) <= test.high), None)
+    return next((float(x) for x in re.findall(NUMBER, cell) if test.low <= float(x) <= test.high), None)
 
 
 def _by_level(table: list[list[str]]) -> dict[str, float]:
@@ -222,18 +165,12 @@ def english(p: Parts) -> Iterator[Found]:
     for table in p.tables:
         if any(sum(_test_of(c) is not None for c in row) >= 2 for row in table) or _by_level(table):
             text = text.replace(" ".join(c for row in table for c in row if c), " ")
-    places, said = list(ANY_TEST.finditer(text)), {}
-    for i, m in enumerate(places):
-        if m.lastgroup not in said:
-            follow = next((x.start() for x in places[i + 1 :] if x.lastgroup != m.lastgroup or x.start() > m.end() + 3), len(text))
-            found = _one_test(text, m, max(m.start() - 50, places[i - 1].end() if i else 0, 0), min(follow, m.end() + 250))
-            if found:
-                said[m.lastgroup] = found
-    for test in TESTS:
-        for part, (v, sure, method) in said.get(test.key, {}).items():
-            yield f"{test.key}_{part}", str(v), sure, method
-            if part == "overall":
-                told.setdefault(test.key, v)
+    said = scores(text)
+    for key in (t.key for t in TESTS if t.key in said):
+        form, read = said[key]
+        for part, v in read.scores.items():
+            yield f"{key}_{part}", str(v), read.sure if part == "overall" else 0.8, f"english.{form}"
+        told.setdefault(key, read.scores["overall"])
     if "ielts" in told:
         for table in p.tables:
             for key, v in _equivalents(table, told["ielts"]).items():

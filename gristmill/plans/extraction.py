@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions import domain, html
+from gristmill.functions import domain, html, scores
 from gristmill.operators import durations
 from gristmill.plans.registry import Tables, plan
 
@@ -44,6 +44,38 @@ def ex_20_21_fee_tables(t: Tables) -> DataFrame:
     return tables.select(columns).unionAll(texts.select(columns))
 
 
+@plan("""WITH n AS (SELECT p_partkey, p_partkey % 9 AS f, 6.0 + p_size % 5 / 2.0 AS o, 4.0 + p_size % 4 / 2.0 AS b, CAST(50 + p_size % 40 AS DOUBLE) AS p FROM part),
+said AS (SELECT *, CASE f WHEN 0 THEN 'floor' WHEN 1 THEN 'split' WHEN 2 THEN 'each' WHEN 3 THEN 'five' WHEN 4 THEN 'bands' WHEN 5 THEN 'overall' WHEN 6 THEN 'near' WHEN 7 THEN 'before' END AS form FROM n),
+parts AS (SELECT * FROM (VALUES ('overall'), ('listening'), ('reading'), ('writing'), ('speaking')) AS v(part)),
+ielts AS (SELECT p_partkey, 'ielts' AS test, part, form, CASE WHEN part = 'overall' THEN o WHEN f IN (0, 2, 3, 6) THEN b WHEN f = 1 THEN CASE part WHEN 'writing' THEN b ELSE o END WHEN f = 4 AND part = 'reading' THEN b END AS score FROM said, parts WHERE form IS NOT NULL),
+pte AS (SELECT p_partkey, 'pte', part, CASE f WHEN 8 THEN 'row' ELSE 'near' END, CASE WHEN part = 'overall' THEN p WHEN f = 8 THEN p - 20 END FROM said, parts WHERE f IN (0, 6, 8))
+SELECT * FROM ielts WHERE score IS NOT NULL UNION ALL SELECT p_partkey, test, part, form, score FROM pte AS x(p_partkey, test, part, form, score) WHERE score IS NOT NULL""")
+def ex_08_scores(t: Tables) -> DataFrame:
+    """English scores in sentences made from each part's numbers: every form, with another form's wording beside it."""
+    half = lambda least, n: F.format_number(F.lit(least) + F.col("p_size") % n / 2, 1)
+    o, b, p = half(6.0, 5), half(4.0, 4), F.lit(50) + F.col("p_size") % 40
+    wordings = [
+        "Guide IELTS {o} (no band less than {b}) or PTE {p}",
+        "IELTS {b} in writing and {o} in all other components",
+        "IELTS Academic {o} overall with {b} in each band, then 2 in each",
+        "IELTS overall {o}, listening {b}, reading {b}, writing {b}, speaking {b}",
+        "IELTS overall band score: {o} and writing 60, reading: {b}",
+        "IELTS since 5 or IELTS overall {o}",
+        "IELTS {o} or PTE {p}, and there is no band below {b}",
+        "a score of {o} in the IELTS test, 3 hours",
+        "PTE Academic | {p} | {q}",
+    ]
+    values = {"o": o, "b": b, "p": p.cast("string"), "q": (p - 20).cast("string")}
+    text = None
+    for k, wording in enumerate(wordings):
+        said = F.lit(wording)
+        for name, v in values.items():
+            said = F.replace(said, F.lit("{" + name + "}"), v)
+        text = F.when(F.col("p_partkey") % len(wordings) == k, said) if text is None else text.when(F.col("p_partkey") % len(wordings) == k, said)
+    found = t.part.select("p_partkey", F.explode(scores.read_scores(text)).alias("s"))
+    return found.select("p_partkey", "s.test", "s.part", "s.form", "s.score")
+
+
 @plan("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN true END AS eligible FROM orders""")
 def ex_04_eligibility(t: Tables) -> DataFrame:
     said = F.when(F.col("o_orderstatus") == "F", "Open to international students, but domestic students only this year").when(F.col("o_orderstatus") == "O", "It is OPEN to international students").otherwise("Nothing")
