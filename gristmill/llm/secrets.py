@@ -15,14 +15,18 @@ DIGESTS = "commit|revision|rev|sha-?[0-9]*|md5|hash|digest|checksum|etag|uuid|bu
 SAMPLES = "test|example|sample|fixture|mock|demo|docs?/"
 #: A name that says what is assigned to it, with the assignment. It is no part of the candidate that follows.
 ASSIGNED = rf"(?=[A-Za-z0-9_\-]{{3,40}}+[\"'`]?[ \t]{{0,3}}+[:=])(?=[A-Za-z0-9_\-]{{0,24}}?(?i:{NAMING}))[A-Za-z0-9_\-]{{3,40}}+[\"'`]?[ \t]{{0,3}}[:=]>?[ \t]{{0,3}}[\"'`]?"
+#: What is assigned: between quotes all up to the closing one on the line, signs behind a backslash too; without quotes all up to
+#: white space, a quote or a tag, but for signs that end a clause.
+QUOTED = "|".join(rf"(?<={q})(?=(?:[^{q}\\\r\n]|\\.){{6}})[^\r\n]{{6,}}?(?=(?<!\\){q})" for q in "\"'`")
+PLAIN = r"(?:[^\s\"'`<]|<(?![/!A-Za-z])){5,}[^\s\"'`<>,;]"
 #: What is looked at: what is assigned to such a name, private key blocks, signed web tokens, a name and password in an
 #: address, and runs of sixteen and more letters, digits and signs of common encodings.
 CANDIDATE = "|".join(
     [
-        rf"(?<![A-Za-z0-9_\-]){ASSIGNED}[^\s\"'`<>,;]{{6,}}",
+        rf"(?<![A-Za-z0-9_\-]){ASSIGNED}(?:{QUOTED}|{PLAIN})",
         r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}",
         r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?",
-        r"(?<=://)[^\s/:@\"'`]{1,64}:[^\s/@\"'`]{3,128}(?=@)",
+        r"(?<=://)[^\s/:@\"'`]{0,64}:[^\s/@\"'`]{3,}+(?=@)",
         r"[A-Za-z0-9_+/\-]{16,}={0,2}(?![A-Za-z0-9])",
     ]
 )
@@ -38,7 +42,9 @@ DICTIONARY = (
     "the|and|ing|tion|ment|able|ness|less|ful|ould|here|there|this|that|with|from|have|were|which|their|other|about|would|name|word|line|page|file|data|user|"
     "example|test|sample|value|number|string|index|table|list|part|work|time|year|people|place|thing|ver|ent|est|ion|ten|ein|sch|lich|ung|heit|keit|eux|eau|oi|que|elle|mente|ci|ado|os|es|er|on|an|en|in|re|th|st|nd|ed|ly|or|he|ha"
 )
-FEATURES = ["length", "digits", "uppers", "transitions", "variety", "hex", "covered", "sample_path", "named", "digest", "assigned", "quoted", "vowels"]
+#: Words of sentences and of what stands for a value in forms.
+PROSE = "a|an|the|of|to|and|or|is|are|was|were|be|not|no|in|on|at|for|with|that|this|it|he|she|they|you|we|who|what|his|her|my|your|please|enter|type|choose|forgot|new|must|here|never|nobody|knows"
+FEATURES = ["length", "digits", "uppers", "transitions", "variety", "hex", "covered", "sample_path", "named", "digest", "assigned", "quoted", "vowels", "spaces", "prose"]
 
 
 #: A tree: a leaf's share of secrets, or (feature, threshold, tree at or below it, tree above it).
@@ -62,17 +68,17 @@ def _with_findings(rows: DataFrame, text: Column, path: Column) -> DataFrame:
     rows = rows.withColumn("__n", F.zip_with("__m", F.slice("__gap", 1, F.greatest(F.size("__m"), F.lit(1))), lambda m, g: F.length(m) + F.length(g)))
     rows = rows.withColumn("__at", _running_sums(F.col("__n")))
 
-    def finding(i: Column) -> Column:
+    def finding(at: Column, i: Column) -> Column:
         m, gap = F.get("__m", i), F.get("__gap", i)
         candidate = F.regexp_replace(m, f"^{ASSIGNED}", "")
         prefix = F.left(m, F.length(m) - F.length(candidate))
         before = F.concat(F.right(F.coalesce(F.get("__m", i - 1), F.lit("")), F.lit(CONTEXT)), F.right(gap, F.lit(CONTEXT)), prefix)
         after = F.concat(F.left(F.get("__gap", i + 1), F.lit(CONTEXT)), F.left(F.coalesce(F.get("__m", i + 1), F.lit("")), F.lit(CONTEXT)))
-        start = F.get("__at", i) + F.length(gap) + F.length(prefix)
+        start = at + F.length(gap) + F.length(prefix)
         return F.struct(start.cast("int").alias("start"), candidate.alias("candidate"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), path.alias("path"))
 
-    numbers = F.when(F.size("__m") > 0, F.sequence(F.lit(0), F.size("__m") - 1)).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("__found", F.transform(numbers, finding))
+    # The sums are what is gone through: read inside by their number, they would be added up anew for each finding.
+    return rows.withColumn("__found", F.transform(F.slice("__at", 1, F.greatest(F.size("__m"), F.lit(0))), finding))
 
 
 def features(get: Callable[[str], Column]) -> dict[str, Column]:
@@ -96,15 +102,17 @@ def features(get: Callable[[str], Column]) -> dict[str, Column]:
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & get("after").rlike("^[\"'`]")),
         "vowels": share("[^aeiouAEIOU]"),
+        "spaces": share("[^ ]"),
+        "prose": 1 - F.length(F.regexp_replace(F.lower(c), rf"\b(?:{PROSE})\b", "")).cast("double") / n,
     }
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """Rows (candidate, before, after, path, secret): what a scan finds in n texts that are made by a rule from their numbers, with labels.
 
-    Half of the kinds of texts hold a secret: keys, short passwords with other signs, signed tokens, addresses with a password
+    Half of the kinds of texts hold a secret: keys, short passwords with other signs, phrases, signed tokens, addresses with a password
     and key blocks. The others hold what scans wrongly report: long words, names, numbers, digests in prose, placeholders, plain
-    words and code after a naming word, keys in paths of examples. A finding is a secret if it is the one that was put in.
+    words, sentences and code after a naming word, keys in paths of examples. A finding is a secret if it is the one that was put in.
     """
     i = F.col("id")
     pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
@@ -136,7 +144,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     after = F.concat(F.lit(" "), prose)
     jwt = F.concat(F.lit("eyJ"), F.substring(more, 1, 20), F.lit(".eyJ"), more, F.lit("."), F.reverse(more))
     pem = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base, F.lit("\n"), more, F.lit("\n"))
+    # Words between quotes: a phrase of invented ones is a secret, a sentence with common ones is none.
+    phrase = F.concat_ws(" ", F.substring(word, F.lit(1), 4 + pick(10, 5)), F.substring(other, F.lit(2), 4 + pick(11, 5)), F.substring(word, F.lit(6), 4 + pick(12, 5)), F.substring(other, F.lit(7), 4 + pick(13, 5)))
+    sentence = F.concat_ws(" ", one_of(14, "Enter your", "Please choose a", "The", "It was", "Forgot the", "nobody knows what", "You must not"), F.substring(word, 1, 6), one_of(15, "of the", "for this", "and", "to her", "in your", "is not"), F.substring(other, 2, 7))
+    quote = one_of(16, *"\"'`")
     kinds = [
+        (F.concat(prose, name, F.lit(" = "), quote), phrase, F.concat(quote, F.lit("\n")), "src/app"),
+        (F.concat(name, F.lit(": "), quote), F.concat(short, F.lit(", "), F.substring(more, F.lit(9), 3 + pick(17, 6)), sign), F.concat(quote, F.lit(" ,")), "config"),
+        (F.concat(F.upper(name), F.lit("=")), F.concat(short, one_of(18, *",;|>"), F.substring(more, F.lit(12), 4 + pick(19, 6))), F.lit("\n"), "env"),
+        (F.concat(prose, name, F.lit(": "), quote, sentence, quote, F.lit(" ")), none, after, "src/app"),
+        (F.concat(prose, F.substring(word, 1, 4), F.lit(" secret: "), quote, sentence, F.lit(", "), prose, quote, F.lit(" ")), none, after, "src/app"),
         (F.concat(prose, name, assign), F.substring(hexes, 1, 40), tail, "src/app"),
         (F.concat(prose, name, F.lit(": ")), F.substring(hexes, 1, 32), F.lit(" "), "src/app"),
         (F.concat(prose, name, assign), F.substring(base, F.lit(1), size), tail, "config"),
