@@ -49,6 +49,11 @@ def ranked(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column],
     return df.withColumn(name, number)
 
 
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df dealt by keys over as many tasks as a shuffle has: for work that costs far more than reading a row, since a small file of many rows is one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], ties: bool = False) -> DataFrame:
     """The first row of each group. Spark keeps each partition's first rows before it shuffles (a group limit)."""
     return ranked(df, keys, order, "__rn", ties).where("__rn = 1").drop("__rn")

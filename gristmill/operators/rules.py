@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.rows import first_per
+from gristmill.operators.rows import first_per, spread
 
 
 def _runs(words: Column, longest: int) -> Column:
@@ -27,9 +27,10 @@ def phrase_hits(texts: DataFrame, rules: DataFrame, text: str, phrase: str, long
     A phrase and a text meet under the phrase's words, so the join is one of equal keys whatever the number of rules; then the phrase must stand there letter for
     letter. Phrases of more than longest words meet under their first ones. Blank phrases and texts without words meet nothing. Both tables' column names must differ, but for on.
     """
-    key = F.explode(_runs(_words(F.col(text)), longest)).alias("__run")
+    # A text's words are found once, not once a run; an outer explode has no filter that would make the runs a second time.
+    runs = F.explode_outer(_runs(F.col("__words"), longest)).alias("__run")
     wanted = rules.withColumn("__run", F.array_join(F.slice(_words(F.col(phrase)), 1, longest), " ")).where("__run <> ''")
-    met = texts.select("*", key).join(wanted, ["__run", *on])
+    met = texts.withColumn("__words", _words(F.col(text))).select("*", runs).drop("__words").join(wanted, ["__run", *on])
     # Word borders as they are for a regular expression: a phrase that ends in a sign needs a word sign after it.
     literal = F.concat(F.lit("(?i)\\b\\Q"), F.trim(F.col(phrase)), F.lit("\\E\\b"))
     return met.where(F.regexp_like(F.col(text), literal)).drop("__run")
@@ -42,7 +43,7 @@ def first_category(rows: DataFrame, rules: DataFrame, id_col: str, name: str, lo
     """
     inside = F.transform(F.regexp_extract_all(F.col(name), F.lit(r"\(([^)]+)\)"), 1), lambda x, i: F.struct(i.alias("part"), x.alias("text")))
     whole = F.array(F.struct(F.lit(1 << 30).alias("part"), F.col(name).alias("text")))
-    parts = rows.select(F.col(id_col).alias("__id"), F.explode(F.concat(inside, whole)).alias("p")).select("__id", F.col("p.part").alias("__part"), F.col("p.text").alias("__text"))
+    parts = spread(rows, id_col).select(F.col(id_col).alias("__id"), F.explode(F.concat(inside, whole)).alias("p")).select("__id", F.col("p.part").alias("__part"), F.col("p.text").alias("__text"))
     hits = phrase_hits(parts, rules.select("category", "sub_category", "phrase", "pos"), "__text", "phrase", longest)
     best = first_per(hits, ["__id"], [F.asc("__part"), F.asc("pos")])
     return best.select(F.col("__id").alias(id_col), "category", "sub_category")
@@ -51,7 +52,7 @@ def first_category(rows: DataFrame, rules: DataFrame, id_col: str, name: str, lo
 def best_category(rows: DataFrame, rules: DataFrame, id_col: str, name: str, longest: int = 6) -> DataFrame:
     """Rows (id_col, category, score) for names in which a rule of rules (category, phrase, pos) occurs: the phrases found count their words; the largest sum wins, then the category that comes first by pos."""
     order = rules.groupBy("category").agg(F.min("pos").alias("__first"))
-    texts = rows.select(F.col(id_col).alias("__id"), F.col(name).alias("__text"))
+    texts = spread(rows, id_col).select(F.col(id_col).alias("__id"), F.col(name).alias("__text"))
     hits = phrase_hits(texts, rules.select("category", "phrase").distinct(), "__text", "phrase", longest)
     sums = hits.groupBy("__id", "category").agg(F.sum(F.size(F.split(F.trim("phrase"), r"\s+"))).cast("long").alias("score")).join(order, "category")
     best = first_per(sums, ["__id"], [F.desc("score"), F.asc("__first"), F.asc("category")])
@@ -73,7 +74,7 @@ def host_phrases(pages: DataFrame, rules: DataFrame, host: str, text: str, longe
 
 def session_months(pages: DataFrame, rules: DataFrame, id_col: str, host: str, text: str) -> DataFrame:
     """Rows (id_col, months) of pages on which their host's names of sessions occur: the months of rules (host_ending, phrase, month, month_number) in calendar order."""
-    hits = host_phrases(pages.select(F.col(id_col).alias("__id"), F.col(host).alias("__host"), F.col(text).alias("__text")), rules, "__host", "__text")
+    hits = host_phrases(spread(pages, id_col).select(F.col(id_col).alias("__id"), F.col(host).alias("__host"), F.col(text).alias("__text")), rules, "__host", "__text")
     months = F.array_sort(F.collect_set(F.struct("month_number", "month")))["month"]
     return hits.groupBy("__id").agg(months.alias("months")).select(F.col("__id").alias(id_col), "months")
 

@@ -18,7 +18,7 @@ def rule_table(t: Tables) -> DataFrame:
     """Rules (category, sub_category, phrase, pos): a part's name either way round, its first word, and its last one with a brand."""
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     phrases = [F.col("p_name"), F.concat_ws(" ", last, first), first, F.concat_ws(" ", last, "p_brand")]
-    made = t.part.select(F.explode(F.array(*phrases)).alias("phrase")).distinct()
+    made = t.part.select("p_name", "p_brand").distinct().select(F.explode(F.array(*phrases)).alias("phrase")).distinct()
     # The rules are few; one task may number them.
     place = F.row_number().over(Window.orderBy(F.desc("phrase")))
     length = F.length("phrase")

@@ -39,6 +39,17 @@ def test_categories_equal_loops(spark):
     assert lines[0] == lines[1]
 
 
+def test_words_are_found_once_a_text_and_texts_are_dealt(spark):
+    """A small file of many names is one task, and every run of words must not cut its text anew."""
+    rows = spark.range(100).selectExpr("id", "concat('data science ', id) AS name").coalesce(1)
+    table = spark.createDataFrame([("a", "b", "data science", 1)], "category string, sub_category string, phrase string, pos int")
+    for found in (rules.first_category(rows, table, "id", "name"), rules.best_category(rows, table, "id", "name")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(lower(") - plan.count("split(lower(phrase") == 1
+        assert "RepartitionByExpression [id" in plan
+        assert found.count() == 100
+
+
 def test_session_months_and_blocked(spark):
     pages = spark.createDataFrame(
         [
