@@ -198,9 +198,9 @@ def page_type(url: Column | str = "url") -> Column:
     return F.when(by_name | by_text, "detail").when(links > 0, "listing").otherwise("unknown")
 
 
-def fee_tables(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages' columns but html, program, amount and term, a row for each row of a fee table. The term is told by the row, else by the head, else by the kind of its fee column."""
-    flat = _each_page(pages, url, html, {"__fees": ("array<struct<program: string, amount: double, kind: string, said: string, head: string>>", _FEES)}, lambda p, links: ([r for t in p.tables for r in fields.fee_rows(t)],))
+def fee_tables(pages: DataFrame, url: str = "url", html: str = "html", bounds: tuple[float, float] = fields.FEE_BOUNDS) -> DataFrame:
+    """pages' columns but html, program, amount and term, a row for each row of a fee table with an amount within bounds. The term is told by the row, else by the head, else by the kind of its fee column."""
+    flat = _each_page(pages, url, html, {"__fees": ("array<struct<program: string, amount: double, kind: string, said: string, head: string>>", _FEES)}, lambda p, links: ([r for t in p.tables for r in fields.fee_rows(t, bounds)],))
     others = [F.col(f"`{c}`") for c in pages.columns if c != html]
     rows = flat.select(*others, F.explode("__fees").alias("__r"))
     row, head, kind = F.col("__r.said"), F.col("__r.head"), F.col("__r.kind")
@@ -208,8 +208,8 @@ def fee_tables(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.select(*others, F.col("__r.program").alias("program"), F.col("__r.amount").alias("amount"), term.alias("term"))
 
 
-def coded_rows(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents' columns but text, code, program, amount, term and year, for the rows of a fee table in a plain text that carry a registration code and its unit, annual and total fees.
+def coded_rows(documents: DataFrame, text: str = "text", bounds: tuple[float, float] = (1_000.0, 200_000.0)) -> DataFrame:
+    """documents' columns but text, code, program, amount, term and year, for the rows of a fee table in a plain text that carry a registration code and its unit, annual and total fees, the last one between bounds.
 
     A row's program begins at the last degree word before its code, brackets that follow included. A code's last row counts. A total that is above
     the annual fee is the whole course's. Texts with under two such rows give none.
@@ -226,7 +226,7 @@ def coded_rows(documents: DataFrame, text: str = "text") -> DataFrame:
     rows = F.transform(each, lambda r: F.struct(r["code"].alias("code"), F.regexp_replace(F.trim(r["program"]), r"\s+", " ").alias("program"), value(r["total"]).alias("amount"), F.when(value(r["total"]) > value(r["annual"]), "Full Course").otherwise("Annual").alias("term")))
     last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda x: x["code"] == r["code"]))
     found = documents.where(F.size(F.regexp_extract_all(F.col(f"`{text}`"), pattern, F.lit(2))) >= 2).select(*[F.col(f"`{c}`") for c in others], year.alias("__year"), F.explode(last).alias("__r"))
-    return found.where("__r.amount > 1000 AND __r.amount < 200000").select(*[F.col(f"`{c}`") for c in others], "__r.*", F.col("__year").alias("year"))
+    return found.where((F.col("__r.amount") > bounds[0]) & (F.col("__r.amount") < bounds[1])).select(*[F.col(f"`{c}`") for c in others], "__r.*", F.col("__year").alias("year"))
 
 
 def fee_lines(documents: DataFrame, text: str = "text", back: int = 3) -> DataFrame:

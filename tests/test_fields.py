@@ -173,3 +173,13 @@ def test_coded_rows_year(spark):
     texts = ["Tuition fees 2026\n" + row, "2027 international fees\n" + row, "Fees\n2026\n" + row, row]
     got = html.coded_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r.doc_id, r.year) for r in got} == {(0, 2026), (1, 2027), (2, None), (3, None)}
+
+
+def test_bounds_of_fees(spark):
+    """The library believes fees up to 200,000; a caller's own bounds take their place."""
+    page = "<table><tr><th>Course</th><th>International fee per year</th></tr><tr><td>Master of Law</td><td>$1,209,999</td></tr></table>"
+    pages = spark.createDataFrame([(1, "https://a.org/fees", page)], "page_id long, url string, html string")
+    texts = spark.createDataFrame([(1, "Tuition fees 2026\nMaster of Law 900000A $1,200 $209,999 $219,999\nMaster of Art 120000K $1,200 $209,999 $219,999\n")], "doc_id long, text string")
+    assert html.fee_tables(pages).count() == 0 and html.coded_rows(texts).count() == 0
+    assert [r.amount for r in html.fee_tables(pages, bounds=(2000, 2e6)).collect()] == [1_209_999.0]
+    assert sorted((r.code, r.amount) for r in html.coded_rows(texts, bounds=(2000, 2e6)).collect()) == [("120000K", 219_999.0), ("900000A", 219_999.0)]
