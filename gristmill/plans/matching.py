@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators import cascade, changes, fuzzy
+from gristmill.operators.rows import spread
 from gristmill.plans.registry import Tables, plan
 
 _CLEAN = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -56,8 +57,9 @@ def joi_18_pairs(t: Tables) -> DataFrame:
 @plan()
 def str_18_likeness(t: Tables) -> DataFrame:
     """Weighted likeness of each part's name to the next one's of its brand, and whether they count as the same."""
-    pairs = t.part.alias("a").join(t.part.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size") - 1))
-    names = pairs.select(F.col("a.p_name").alias("a"), F.concat_ws(" ", "b.p_name", "b.p_type").alias("b")).distinct()
+    # Distinct names meet, not parts, whose pairs grow with the square of a brand's. Dealt without keys: by its own keys the distinct step's shuffle would serve, which Spark coalesces to one task.
+    one, other = t.part.select("p_brand", "p_size", F.col("p_name").alias("a")).distinct(), t.part.select("p_brand", (F.col("p_size") - 1).alias("p_size"), F.concat_ws(" ", "p_name", "p_type").alias("b")).distinct()
+    names = spread(one.join(other, ["p_brand", "p_size"]).select("a", "b").distinct())
     return names.select("a", "b", fuzzy.weighted_likeness("a", "b").alias("score"), fuzzy.same_name("a", "b").alias("same"))
 
 

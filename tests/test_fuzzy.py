@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.operators import fuzzy
+from gristmill.plans import matching
+from gristmill.plans.registry import Tables
 
 
 def plain_common(a, b):
@@ -119,3 +122,14 @@ def test_best_match(spark):
         if x and s >= 85:
             want[(i % 2, x)] = (y, s)
     assert got == want
+
+
+def test_likeness_of_repeated_parts(spark, sf_dir, tmp_path):
+    """Repeating the parts adds no pair of names, and the pairs that meet before they are made distinct do not grow with the square of the repeats."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("p_partkey", F.col("p_partkey") + 1_000_000 * F.col("i")).drop("i").write.parquet(f"{tmp_path}/part.parquet")
+    once, often = (matching.str_18_likeness(Tables(spark, d)) for d in (sf_dir, str(tmp_path)))
+    assert sorted(often.collect()) == sorted(once.collect())
+    plan = often._jdf.queryExecution().optimizedPlan().toString()
+    meeting = plan[plan.index("Join Inner") :]
+    assert "Repartition 4" in plan and meeting.count("Aggregate [p_brand") == 2
