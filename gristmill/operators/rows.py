@@ -54,6 +54,19 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows of a task that holds distinct keys; this changes no result.
+TASK_ROWS = 1_000_000
+
+
+def spread_by_rows(df: DataFrame, *keys: str | Column, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over so many tasks that each has about so many rows, and no fewer than a shuffle has: what one task holds does not grow with the table.
+
+    The rows are counted at once, which a Parquet table's footers tell.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], ties: bool = False) -> DataFrame:
     """The first row of each group. Spark keeps each partition's first rows before it shuffles (a group limit)."""
     return ranked(df, keys, order, "__rn", ties).where("__rn = 1").drop("__rn")

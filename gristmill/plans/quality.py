@@ -15,7 +15,8 @@ from gristmill.plans.windows import _MONTHLY, monthly_rates
 
 
 def _evidence(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("run"), F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("field"), F.nullif("l_linestatus", F.lit("O")).alias("method"))
+    # Dealt by the key of the join, which is also the entity: the join and the distinct entities after it need no shuffle of their own, and their tasks hold bounded tables.
+    return r.spread_by_rows(t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("run"), F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("field"), F.nullif("l_linestatus", F.lit("O")).alias("method"))
 
 
 _EVIDENCE = "e AS (SELECT o_orderpriority AS run, l_orderkey AS entity, l_returnflag AS field, nullif(l_linestatus, 'O') AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT o_orderpriority AS run, o_orderkey AS entity FROM orders WHERE o_orderstatus <> 'P'), "
