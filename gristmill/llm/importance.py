@@ -143,7 +143,9 @@ def ranked(rows: DataFrame, order: list, ties: list) -> DataFrame:
 
     ties are columns that part rows of equal order values further, so that a value which many rows share is no range of its own.
     """
-    spread = rows.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties)
+    # Plain names on the way to Python and back: those of rows may hold dots.
+    plain = [f"_c{i}" for i in range(len(rows.columns))]
+    spread = rows.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties).toDF(*plain)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = 0, TaskContext.get().partitionId()
@@ -152,11 +154,11 @@ def ranked(rows: DataFrame, order: list, ties: list) -> DataFrame:
             at += len(b)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part, np.int32)), place], [*b.schema.names, "_part", "_place"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, rows.schema, strict=True))
     placed = materialize(spread.mapInArrow(run, f"{fields}, _part int, _place long"), "placed")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_part").agg(F.max("_place").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, "_part").withColumn("rank", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start", "_n")
+    return placed.join(starts, "_part").select(*[F.col(n).alias(c) for n, c in zip(plain, rows.columns, strict=True)], (F.col("_start") + F.col("_place")).alias("rank"))
 
 
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, least_words: int = 20, seed: int = 42) -> DataFrame:
