@@ -22,6 +22,7 @@ JOINED = 400
 #: Marks of ASCII.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+_MARKS = frozenset(MARKS)
 _SAFE = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _BYTE_PLAIN = re.compile(r" ?\S+")
@@ -61,16 +62,15 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         # A letter or digit and a mark after it are always split, so a word's ids serve whatever marks follow it.
-        tails, ask = [], set()
-        for p in new:
+        tails, ask, whole = [], set(), self.plain.fullmatch
+        for p in [p for p in new if p[-1:] in _MARKS]:
             word = p.rstrip(MARKS)
-            if len(word) < len(p) and word[-1:].isalnum() and self.plain.fullmatch(p):
+            if word[-1:].isalnum() and whole(p):
                 tails.append((p, word, p[len(word) :]))
                 ask.add(word)
                 ask.add(p[len(word) :])
-            else:
-                ask.add(p)
-        self._ask(list(ask.difference(self.known)))
+        # What is new is not known; of the words and marks some are.
+        self._ask([*new.difference([p for p, _, _ in tails]), *ask.difference(self.known, new)])
         known = self.known
         for p, word, marks in tails:
             known[p] = known[word] + known[marks]

@@ -417,3 +417,17 @@ def test_queries_return_their_contracts(spark, sf_dir):
         assert {r.doc_id for r in queries.QUERIES[name](spark, sf_dir).select("doc_id").collect()} == set(text)
     for r in queries.op8_token_files(spark, sf_dir).limit(20).collect():
         assert r.ids_crc32 == zlib.crc32(np.array(expected_ids(text[r.doc_id], "word_bpe_49k.json"), "<u4").tobytes())
+
+
+def test_pieces_that_end_in_marks_are_asked_once():
+    """Words and marks that a batch holds on their own too go to the library once, and ids stay those of whole texts."""
+    from gristmill.llm.tokens import Encoder
+
+    texts = ["ab, ab ,", "ab,\n, ab!!! !!!", "a.b. c1? 1?", "é, é", " ,", "", "ab,,, x"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(name)
+        asked = []
+        ask, e._ask = e._ask, lambda new, asked=asked: (asked.extend(new), ask(new))
+        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
+        assert got == e._ids(texts)
+        assert len(asked) == len(set(asked)) and "ab," not in asked
