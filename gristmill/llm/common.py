@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -41,11 +42,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gristmill/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns the table: lineage is cut, and the rows outlive any executor."""
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and returns the table: lineage is cut, and the rows outlive any executor. options are the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -100,6 +101,20 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs that run meanwhile send batches of about this many bytes to Python workers, not Spark's default of 64 MB. A session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def clean_text(text: Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(text, F.lit(""))

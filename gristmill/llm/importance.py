@@ -19,12 +19,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import clean_text, discard, let_go, long_rows, materialize, small_batches
+from gristmill.llm.common import clean_text, discard, let_go, long_rows, materialize, short_batches, small_batches
 
 BUCKETS, LONGEST_RUN = 10_000, 3
 #: Bytes that are no part of a word become spaces; A to Z become a to z; bytes of other characters stay.
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _BLOCK = "doc_ids array<long>, words array<int>, ends array<int>, columns binary, counts binary"
+#: Bytes of a row group of written blocks, and of their batches to Python. Spark's reader takes up to 4,096 rows of a group at once, and blocks are long rows.
+GROUP_BYTES = 1 << 22
+#: The size is looked at after each block, and nothing that is written is longer once it is read.
+_WRITTEN = {
+    "compression": "uncompressed",
+    "parquet.enable.dictionary": "false",
+    "parquet.block.size": str(GROUP_BYTES),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+}
 
 
 def buckets(text: str | None) -> tuple[int, np.ndarray]:
@@ -39,13 +49,21 @@ def buckets(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), np.array(found, np.uint32) % BUCKETS
 
 
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    return pa.compress(numbers.astype(kind).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
+
+
 class Block:
-    """Rows of the matrix: row k's entries are ends[k] to ends[k + 1] of columns and counts. Written columns are steps from the entry before in the row."""
+    """Rows of the matrix: row k's entries are ends[k] to ends[k + 1] of columns and counts. Written columns are steps from the entry before in the row, both compressed."""
 
     def __init__(self, row: dict) -> None:
         self.ends = np.array([0, *row["ends"]], np.int64)
-        self.counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-        steps = np.frombuffer(row["columns"], "<u2").astype(np.int64)
+        self.counts = _unpacked(row["counts"], "<u4", int(self.ends[-1]))
+        steps = _unpacked(row["columns"], "<u2", int(self.ends[-1]))
         total = np.concatenate([[0], np.cumsum(steps)])
         self.columns = total[1:] - np.repeat(total[self.ends[:-1]], np.diff(self.ends))
 
@@ -81,8 +99,8 @@ def matrix(docs: DataFrame, id_col: str | None, text_col: str = "text") -> DataF
                 "doc_ids": b.column(0).to_pylist(),
                 "words": words,
                 "ends": ends.tolist(),
-                "columns": np.concatenate(steps).astype("<u2").tobytes(),
-                "counts": np.concatenate(counts).astype("<u4").tobytes(),
+                "columns": _packed(np.concatenate(steps), "<u2"),
+                "counts": _packed(np.concatenate(counts), "<u4"),
             }
             yield pa.RecordBatch.from_pylist([row], kind)
 
@@ -97,9 +115,8 @@ def column_sums(blocks: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for row in b.to_pylist():
-                total += Block(row).sums()
+        for b in small_batches(batches, 1):
+            total += Block(b.to_pylist()[0]).sums()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "n"])
 
@@ -127,13 +144,13 @@ def weights(blocks: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(row)
-                weight = block.times(sent.value)
-                score = weight + np.array([noise(i, seed) for i in row["doc_ids"]], np.int64)
-                columns = [row["doc_ids"], row["words"], block.row_sums(), weight, score]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_words", "n_features", "weight", "score"])
+        for b in small_batches(batches, 1):
+            row = b.to_pylist()[0]
+            block = Block(row)
+            weight = block.times(sent.value)
+            score = weight + np.array([noise(i, seed) for i in row["doc_ids"]], np.int64)
+            columns = [row["doc_ids"], row["words"], block.row_sums(), weight, score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_words", "n_features", "weight", "score"])
 
     return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
 
@@ -169,9 +186,10 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     row holds at most BUCKETS entries. Repeated rows are documents of their own. Empty docs give no rows; an empty target has no features.
     Other columns of both tables are left out, whatever their names.
     """
-    blocks = materialize(matrix(docs, id_col, text_col), "blocks")
-    gain = gains(column_sums(blocks), column_sums(matrix(target, None, text_col)))
-    scored = materialize(weights(blocks, gain, seed), "scores")
+    blocks = materialize(matrix(docs, id_col, text_col), "blocks", _WRITTEN)
+    with short_batches(docs.sparkSession, GROUP_BYTES):
+        gain = gains(column_sums(blocks), column_sums(matrix(target, None, text_col)))
+        scored = materialize(weights(blocks, gain, seed), "scores")
     discard(blocks)
     enough = F.col("n_words") >= least_words
     # Ranks end at the last one that is drawn; what is left out stays in the result all the same.

@@ -5,10 +5,12 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 
-from gristmill.llm import importance, queries
+from gristmill.llm import common, importance, queries
 
 COLUMNS = ["doc_id", "n_features", "weight", "score", "rank"]
 
@@ -72,6 +74,36 @@ def test_blocks_are_the_matrix(spark):
     assert (importance.column_sums(blocks) == total).all()
 
 
+def test_written_blocks_are_read_in_bounded_parts(spark, monkeypatch):
+    """Spark's reader takes up to 4,096 rows of a row group at once: all blocks of a partition in one group are its whole matrix in memory."""
+    kept = []
+    monkeypatch.setattr(importance, "discard", kept.append)
+    words = np.array([f"{k:03x}" for k in range(4096)])
+    rows = [(i, " ".join(words[np.random.default_rng(i).integers(0, 4096, 300)])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = importance.resample(docs, docs.limit(3)).agg({"n_features": "sum", "rank": "max"}).first()
+    assert out["sum(n_features)"] == 6000 * (300 + 299 + 298) and out["max(rank)"] == 300
+    groups = [m.row_group(k).total_byte_size for f in Path(kept[0].written_path.removeprefix("file:")).glob("*.parquet") for m in [pq.read_metadata(f)] for k in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(groups) <= 8 << 20
+
+
+def test_short_batches_end_with_their_jobs(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.short_batches(spark, 1 << 20):
+        assert spark.conf.get(key) == str(1 << 20)
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "3m")
+    with common.short_batches(spark, 1 << 20):
+        assert spark.conf.get(key) == "3m"
+    spark.conf.unset(key)
+
+
+def test_blocks_of_empty_texts(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(500)], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in importance.resample(docs, docs).where("n_features = 0 AND weight = 0 AND rank IS NULL").collect()) == list(range(500))
+
+
 def test_ranks_over_many_ranges(spark):
     df = spark.range(5000).selectExpr("id", "id % 7 AS score", "'x' AS `a.b`").repartition(6)
     got = importance.ranked(df, [df.score.desc(), df.id.asc()], []).collect()
